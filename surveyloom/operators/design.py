@@ -22,8 +22,8 @@ from surveyloom.operators.tquantile import t_quantile_column
 from surveyloom.sources.staging import stage
 
 REPLICATE = "_r"
-# Whole-stage code generation stops above 100 columns; stay below it.
-MAX_SUMS_PER_PASS = 96
+# Whole-stage code generation stops above 100 columns, keys and weight included.
+MAX_COLUMNS_PER_PASS = 100
 
 
 def _as_blocks(by, measures, where, domains) -> dict[str, Block]:
@@ -40,11 +40,13 @@ def _any_block(blocks: Mapping[str, Block]) -> Column | None:
     return None if any(c is None for c in conds) else reduce(Column.__or__, conds)
 
 
-def _inside(block: Block, value: Column, null: Column | float = 0.0) -> Column:
-    """``value`` for rows of the block, ``null`` outside it or when NULL."""
-    null = null if isinstance(null, Column) else F.lit(null)
-    value = F.coalesce(value, null)
-    return value if block.where is None else F.when(block.where, value).otherwise(null)
+def _inside(block: Block, value: Column) -> Column:
+    """``value`` (0 when NULL) for rows of the block, NULL outside it.
+
+    A sum is then NULL for a group without rows in the block.
+    """
+    value = F.coalesce(value, F.lit(0.0))
+    return value if block.where is None else F.when(block.where, value)
 
 
 def _median_column(label: str, var: str) -> str:
@@ -53,11 +55,11 @@ def _median_column(label: str, var: str) -> str:
 
 def _terms(block: Block) -> list[tuple[str, str]]:
     """Sums that the measures of one block need, each once."""
-    need: list[tuple[str, str]] = [("n", "")]
+    need: list[tuple[str, str]] = [("w", "")]
     for m in block.measures:
         if m.column is None:
-            need.append(("w", ""))
-        elif m.kind == "total":
+            continue
+        if m.kind == "total":
             need.append(("wx", m.column))
         elif m.kind == "mean":
             need += [("wx", m.column), ("wk", m.column)]
@@ -135,7 +137,7 @@ class ReplicateSums:
         return self._finish(rows, [name, *self.keys], first.measures)
 
     def _finish(self, df, keys, measures):
-        kept = df.where(_term("n") > 0) if keys else df
+        kept = df.where(_term("w").isNotNull()) if keys else df.fillna(0.0)
         theta = {m.name: f"_e_{m.name}" for m in measures}
         est = kept.withColumns({theta[m.name]: _theta(m) for m in measures})
         # At most one row per replicate and key meets in a window partition.
@@ -174,40 +176,47 @@ class ReplicateDesign:
     def sums(self, by: Sequence[str], blocks: Mapping[str, Block], medians: DataFrame | None = None) -> ReplicateSums:
         """One pass over the persons for all blocks."""
         keys, blocks = list(by), dict(blocks)
-        plain: dict[str, Column] = {}
-        weighted: dict[str, Column] = {}
+        width = [len(_terms(b)) for b in blocks.values()]
+        if sum(width) + len(keys) + 2 > MAX_COLUMNS_PER_PASS and len(blocks) > 1:
+            return self._sums_in_passes(keys, blocks, medians)
+        sums: dict[str, Column] = {}
         for label, block in blocks.items():
-            for term in _terms(block):
-                kind, var = term
+            for kind, var in _terms(block):
                 x = F.col(var).cast("double") if var else None
-                name = _term_name(label, term)
-                if kind == "n":
-                    plain[name] = _inside(block, F.lit(1).cast("long"), F.lit(0).cast("long"))
-                elif kind == "null":
-                    plain[name] = _inside(block, x.isNull().cast("long"), F.lit(0).cast("long"))
-                elif kind == "w":
-                    weighted[name] = _inside(block, F.lit(1.0))
+                if kind == "w":
+                    value = F.lit(1.0)
                 elif kind == "wx":
-                    weighted[name] = _inside(block, x)
+                    value = x
                 elif kind == "wk":
-                    weighted[name] = _inside(block, x.isNotNull().cast("double"))
+                    value = x.isNotNull().cast("double")
+                elif kind == "null":
+                    value = x.isNull().cast("double")
                 else:
-                    weighted[name] = _inside(block, (x <= F.col(_median_column(label, var))).cast("double"))
-        if len(plain) + len(weighted) > MAX_SUMS_PER_PASS:
-            raise ValueError(f"more than {MAX_SUMS_PER_PASS} sums in one pass: split the blocks")
+                    value = (x <= F.col(_median_column(label, var))).cast("double")
+                sums[_term_name(label, (kind, var))] = _inside(block, value)
         base = _any_block(blocks)
         persons = self.df if base is None else self.df.where(base)
         if medians is not None:
             persons = join_on(persons, medians, keys, "left")
         all_weights = F.array(*[F.col(c).cast("double") for c in (self.weight, *self.replicates)])
-        long = persons.select(
-            *keys, *[c.alias(n) for n, c in {**plain, **weighted}.items()], F.posexplode(all_weights).alias(REPLICATE, "_w")
-        )
+        # The inputs are fixed below the explode, once per person and not once per weight.
+        inputs = persons.select(*keys, *[c.alias(n) for n, c in sums.items()], all_weights.alias("_ws"))
+        long = inputs.select(*keys, *sums, F.posexplode("_ws").alias(REPLICATE, "_w"))
+        unweighted = {n for n in sums if "__null__" in n}
         df = long.groupBy(*keys, REPLICATE).agg(
-            *[F.sum(n).alias(n) for n in plain], *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in weighted]
+            *[F.sum(F.col(n) if n in unweighted else F.col("_w") * F.col(n)).alias(n) for n in sums]
         )
         return ReplicateSums(df, keys, blocks, self.scale)
 
+    def _sums_in_passes(self, keys: list[str], blocks: dict[str, Block], medians: DataFrame | None) -> ReplicateSums:
+        """Halve the blocks until each pass fits; only the small results are joined."""
+        labels = list(blocks)
+        half = len(labels) // 2
+        parts = [
+            self.sums(keys, {x: blocks[x] for x in part}, medians).df for part in (labels[:half], labels[half:])
+        ]
+        return ReplicateSums(join_on(*parts, [*keys, REPLICATE], "full_outer"), keys, blocks, self.scale)
+
     def estimate(
         self,
         by: Sequence[str],

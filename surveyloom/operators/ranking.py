@@ -7,26 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.operators.joins import join_on
+from surveyloom.operators.quantile import value_bucket
+
+
+def _value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+
 
 def average_rank(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Descending rank within the group; ties share the mean of their places.
 
-    Each distinct value of a group gets its rank from counts per value, so a
-    group is never sorted row by row in one task: rows collapse to
-    ``(group, value, n)`` before the window. A NULL value has a NULL rank.
+    Rows collapse to counts per value, and a monotone bucket of the value cuts
+    every group into pieces: a large group is never sorted in one task. A NULL
+    value has a NULL rank.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy(F.col(value).desc())
-    above = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*group, value, (above + (F.col("_n") + 1) / 2.0).alias(name))
-    from surveyloom.operators.joins import join_on
-
+    counts = _value_counts(df, group, value).withColumn("_bucket", value_bucket(F.col(value)))
+    per_bucket = counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_bn"))
+    earlier = Window.partitionBy(*group).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*group, "_bucket", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_before"))
+    inner = (
+        Window.partitionBy(*group, "_bucket").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = join_on(counts, offsets, [*group, "_bucket"], "inner")
+    above = F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0))
+    ranks = placed.select(*group, value, (above + (F.col("_n") + 1) / 2.0).alias(name))
     return join_on(df, ranks, [*group, value], "left").select(*df.columns, name)
 
 
 def top_by_rank(df: DataFrame, group: Sequence[str], value: str, name: str, limit: int) -> DataFrame:
-    """Rows whose average rank is at most ``limit``; ties may change the count."""
-    return average_rank(df, group, value, name).where(F.col(name) <= limit)
+    """Rows whose average rank is at most ``limit``; ties may change the count.
+
+    Only the ``limit`` largest distinct values of a group can have such a rank,
+    so each task passes on at most that many values per group.
+    """
+    order = Window.partitionBy(*group).orderBy(F.col(value).desc())
+    counts = _value_counts(df, group, value)
+    largest = counts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
+    above = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = largest.select(*group, value, (above + (F.col("_n") + 1) / 2.0).alias(name)).where(F.col(name) <= limit)
+    return join_on(df, ranks, [*group, value], "inner").select(*df.columns, name)
 
 
 def top_n(df: DataFrame, n: int, value: str, ties: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
