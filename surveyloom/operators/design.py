@@ -92,6 +92,15 @@ def _unless_null_input(m: Measure, value: Column) -> Column:
     return F.when(F.max(_term("null", m.column)) == 0, value)
 
 
+def _median_members(blocks: Mapping[str, Block]) -> dict[str, dict]:
+    """Row condition and median inputs of the blocks that have medians."""
+    return {
+        label: {"where": b.where, "columns": b.columns_of("median")}
+        for label, b in blocks.items()
+        if b.columns_of("median")
+    }
+
+
 class ReplicateSums:
     """Sums per key and replicate (0 is the base weight), finished block by block."""
 
@@ -166,12 +175,28 @@ class ReplicateDesign:
     ``scale`` defaults to ``4 / R``, the successive-difference rule.
     """
 
-    def __init__(self, df: DataFrame, weight: str, replicates: Sequence[str], scale: float | None = None):
-        self.df, self.weight, self.replicates = df, weight, list(replicates)
-        self.scale = 4.0 / len(self.replicates) if scale is None else scale
+    def __init__(
+        self,
+        df: DataFrame,
+        weight: str,
+        replicates: Sequence[str] | str,
+        scale: float | None = None,
+        count: int = 80,
+    ):
+        """``replicates`` names the weight columns, or one array column of ``count`` weights."""
+        self.df, self.weight = df, weight
+        self.replicates = replicates if isinstance(replicates, str) else list(replicates)
+        self.count = count if isinstance(replicates, str) else len(self.replicates)
+        self.scale = 4.0 / self.count if scale is None else scale
 
     def where(self, cond: Column) -> ReplicateDesign:
-        return ReplicateDesign(self.df.where(cond), self.weight, self.replicates, self.scale)
+        return ReplicateDesign(self.df.where(cond), self.weight, self.replicates, self.scale, self.count)
+
+    def _all_weights(self) -> Column:
+        base = F.col(self.weight).cast("double")
+        if isinstance(self.replicates, str):
+            return F.concat(F.array(base), F.col(self.replicates))
+        return F.array(base, *[F.col(c).cast("double") for c in self.replicates])
 
     def sums(self, by: Sequence[str], blocks: Mapping[str, Block], medians: DataFrame | None = None) -> ReplicateSums:
         """One pass over the persons for all blocks."""
@@ -198,9 +223,8 @@ class ReplicateDesign:
         persons = self.df if base is None else self.df.where(base)
         if medians is not None:
             persons = join_on(persons, medians, keys, "left")
-        all_weights = F.array(*[F.col(c).cast("double") for c in (self.weight, *self.replicates)])
         # The inputs are fixed below the explode, once per person and not once per weight.
-        inputs = persons.select(*keys, *[c.alias(n) for n, c in sums.items()], all_weights.alias("_ws"))
+        inputs = persons.select(*keys, *[c.alias(n) for n, c in sums.items()], self._all_weights().alias("_ws"))
         long = inputs.select(*keys, *sums, F.posexplode("_ws").alias(REPLICATE, "_w"))
         unweighted = {n for n in sums if "__null__" in n}
         df = long.groupBy(*keys, REPLICATE).agg(
@@ -234,22 +258,32 @@ class ReplicateDesign:
         sums = self.estimate_sums(by, blocks)
         return sums.block("all") if domains is None else sums.stacked(name)
 
+    def _medians(self, keys: list[str], blocks: Mapping[str, Block]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Histogram, bucket totals, and medians per ``(block, var, *keys)``."""
+        members = _median_members(blocks)
+        base = _any_block({x: blocks[x] for x in members})
+        persons = self.df if base is None else self.df.where(base)
+        group = ["_block", "_var", *keys]
+        hist = quantile.weight_histogram(persons, keys, self.weight, members)
+        buckets = quantile.bucket_totals(hist, group)
+        return hist, buckets, quantile.locate(hist, buckets, group, F.lit(0.5), "_median")
+
+    def medians(self, by: Sequence[str], measures: Sequence[Measure], where: Column | None = None) -> DataFrame:
+        """Medians alone, lazily: no replicate weight is read."""
+        names = {m.column: m.name for m in measures}
+        _, _, mid = self._medians(list(by), {"all": Block(tuple(measures), where)})
+        return mid.groupBy(*by).agg(
+            *[F.max(F.when(F.col("_var") == v, F.col("_median"))).alias(name) for v, name in names.items()]
+        )
+
     def estimate_sums(self, by: Sequence[str], blocks: Mapping[str, Block]) -> ReplicateSums:
         """Like ``sums``, and able to finish medians."""
         keys = list(by)
-        members = {
-            label: {"where": b.where, "columns": b.columns_of("median")}
-            for label, b in blocks.items()
-            if b.columns_of("median")
-        }
+        members = _median_members(blocks)
         if not members:
             return self.sums(keys, blocks)
-        group = ["_block", "_var", *keys]
-        base = _any_block({x: blocks[x] for x in members})
-        persons = self.df if base is None else self.df.where(base)
-        hist = quantile.weight_histogram(persons, keys, self.weight, members)
-        buckets = quantile.bucket_totals(hist, group)
-        mid = stage(quantile.locate(hist, buckets, group, F.lit(0.5), "_median"), "medians")
+        hist, buckets, mid = self._medians(keys, blocks)
+        mid = stage(mid, "medians")
         # One row per key; Catalyst broadcasts it only while the written size is small.
         wide = mid.groupBy(*keys).agg(
             *[
@@ -259,7 +293,7 @@ class ReplicateDesign:
             ]
         )
         plain = self.sums(keys, blocks, stage(wide, "medians_by_key")).staged("sums_with_medians")
-        return MedianSums(plain, len(self.replicates), mid, hist, buckets)
+        return MedianSums(plain, self.count, mid, hist, buckets)
 
 
 class MedianSums(ReplicateSums):
