@@ -27,6 +27,21 @@ def value_bucket(x: Column) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_LOG_UNIT)
 
 
+def membership_mask(conds: Sequence[Column | None]) -> Column:
+    """Whole number with bit i set where condition i holds (always, when None)."""
+    if len(conds) > 62:
+        raise ValueError("at most 62 blocks fit one membership mask")
+    mask = F.lit(0).cast("long")
+    for i, cond in enumerate(conds):
+        bit = F.lit(1 << i).cast("long")
+        mask = mask.bitwiseOR(bit if cond is None else F.when(cond, bit).otherwise(F.lit(0).cast("long")))
+    return mask
+
+
+def has_bit(mask: Column, i: int) -> Column:
+    return mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0
+
+
 def weight_histogram(
     df: DataFrame, keys: Sequence[str], weight: str, members: Mapping[str, Mapping[str, Column | None]]
 ) -> DataFrame:
@@ -37,14 +52,8 @@ def weight_histogram(
     blocks, and only the collapsed rows are copied to their blocks.
     """
     labels = list(members)
-    if len(labels) > 62:
-        raise ValueError("at most 62 blocks fit one membership mask")
     variables = list(dict.fromkeys(v for cols in members.values() for v in cols["columns"]))
-    mask = F.lit(0).cast("long")
-    for i, label in enumerate(labels):
-        cond = members[label]["where"]
-        bit = F.lit(1 << i).cast("long")
-        mask = mask + (bit if cond is None else F.when(cond, bit).otherwise(F.lit(0).cast("long")))
+    mask = membership_mask([spec["where"] for spec in members.values()])
     rows = df.select(
         *keys,
         F.col(weight).cast("double").alias("_w"),
@@ -54,18 +63,17 @@ def weight_histogram(
         ).alias("_v"),
     ).select(*keys, "_w", "_mask", F.col("_v._var").alias("_var"), F.col("_v._x").alias("_x"))
     cells = (
-        rows.where((F.col("_mask") != 0) & F.col("_x").isNotNull())
+        rows.where(F.col("_x").isNotNull())
         .groupBy("_var", *keys, "_mask", "_x")
         .agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"))
     )
     in_blocks = []
     for i, label in enumerate(labels):
-        wanted = (F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & F.col("_var").isin(
-            *members[label]["columns"]
-        )
+        wanted = has_bit(F.col("_mask"), i) & F.col("_var").isin(*members[label]["columns"])
         in_blocks.append(F.when(wanted, F.lit(label)))
     return (
-        cells.select("_var", *keys, "_x", "_w", "_n", F.explode(F.array_compact(F.array(*in_blocks))).alias("_block"))
+        cells.select("_var", *keys, "_x", "_w", "_n", F.explode(F.array(*in_blocks)).alias("_block"))
+        .where(F.col("_block").isNotNull())
         .withColumn("_bucket", value_bucket(F.col("_x")))
     )
 

@@ -39,5 +39,5 @@ def t_quantile(df: int, level: float = 0.95) -> float:
 
 def t_quantile_column(df: Column, max_df: int, level: float = 0.95) -> Column:
     """Lookup by an integer column; NULL below 1, ``max_df`` is the last entry."""
-    table = F.array(*[F.lit(t_quantile(k, level)) for k in range(1, max_df + 1)])
+    table = F.expr("array(" + ", ".join(f"{t_quantile(k, level)!r}D" for k in range(1, max_df + 1)) + ")")
     return F.when(df >= 1, F.try_element_at(table, df.cast("int")))

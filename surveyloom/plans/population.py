@@ -133,16 +133,17 @@ INCOME = (total("EMPCNT"), mean("MN_INC", "PINCP"), median("MED_INC", "PINCP"),
 MEN, MEN_LB = "male", "male less bach"
 
 
-def _and(*conds: str | None) -> Column:
-    return F.expr(" AND ".join(f"({c})" for c in conds if c))
+def _and(*conds: str | None) -> Column | None:
+    some = [f"({c})" for c in conds if c]
+    return F.expr(" AND ".join(some)) if some else None
 
 
-def list_conditions(men: bool = False) -> dict[str, Column]:
-    """Row conditions of the twelve lists, and of the men when asked."""
-    out = {x: _and(FULL_TIME, cond) for x, cond in POPULATIONS.items()}
-    out |= {x: _and(FULL_TIME, "LESSBACH = 1", POPULATIONS[of]) for x, of in LESS_BACHELOR.items()}
+def list_conditions(men: bool = False) -> dict[str, Column | None]:
+    """Row conditions of the twelve lists among full-time workers, and of the men."""
+    out = {x: _and(cond) for x, cond in POPULATIONS.items()}
+    out |= {x: _and("LESSBACH = 1", POPULATIONS[of]) for x, of in LESS_BACHELOR.items()}
     if men:
-        out |= {MEN: _and(FULL_TIME, "SEX = 1"), MEN_LB: _and(FULL_TIME, "LESSBACH = 1", "SEX = 1")}
+        out |= {MEN: _and("SEX = 1"), MEN_LB: _and("LESSBACH = 1", "SEX = 1")}
     return out
 
 
@@ -188,7 +189,9 @@ class SurveyTables:
         """Count, mean and medians per population and occupation (staged)."""
         if self._income is None:
             blocks = {x: Block(INCOME, cond) for x, cond in list_conditions(men=True).items()}
-            self._income = stage(self.design.estimate_sums([self.key], blocks).stacked("category"), "income")
+            self._income = stage(
+                self.design.where(_and(FULL_TIME)).estimate_sums([self.key], blocks).stacked("category"), "income"
+            )
         return self._income
 
     def counts(self) -> ReplicateSums:
@@ -383,7 +386,9 @@ class LinearTables:
     def top_lists(self) -> DataFrame:
         """The twelve lists with a label (staged)."""
         if self._lists is None:
-            est = self.design.estimate([self.key], self._measures(), domains=list_conditions(), name="category")
+            est = self.design.estimate(
+                [self.key], self._measures(), where=_and(FULL_TIME), domains=list_conditions(), name="category"
+            )
             ranked = self._titled(est)
             self._lists = stage(top_n(ranked, self.top, "EMPCNT", [self.key, self.title], ["category"]), "linear_lists")
         return self._lists

@@ -29,7 +29,7 @@ PERSON = {
     "SCH": "CAST(1 + (3 * l_orderkey + l_suppkey) % 3 AS INT)",
     "PINCP": "CASE WHEN l_orderkey % 17 = 3 THEN NULL ELSE CAST(FLOOR(l_extendedprice) AS DOUBLE) END",
     "WAGP": "CASE WHEN l_orderkey % 13 = 5 THEN NULL ELSE CAST(FLOOR(l_extendedprice) - 100 * (l_orderkey % 7) AS DOUBLE) END",
-    "ADJINC": "CAST(1.006149 AS DOUBLE)",
+    "ADJINC": "CAST(1.0061 AS DOUBLE)",
     "SOCP10": f"CASE WHEN l_linenumber = 1 THEN 'N.A.//' WHEN l_linenumber = 2 THEN NULL ELSE {_CODE} END",
     "SOCP12": f"CASE WHEN l_linenumber = 1 THEN {_CODE} ELSE 'N.A.//' END",
 }
@@ -73,7 +73,8 @@ def with_weights(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     factor depends on the line through a remainder of 7 only, so it is looked up
     in a constant.
     """
-    factors = F.array(*[F.array(*[F.lit(float(3 + (m + 13 * r) % 7)) for r in range(1, 81)]) for m in range(7)])
+    rows = (", ".join(f"{3 + (m + 13 * r) % 7}D" for r in range(1, 81)) for m in range(7))
+    factors = F.expr("array(" + ", ".join(f"array({row})" for row in rows) + ")")
     kind = F.expr("CAST((31 * l_orderkey + 17 * l_linenumber) % 7 AS INT)")
     q = F.expr(f"CAST({QUANTITY} AS DOUBLE)")
     slim = df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()], q.alias("_q"), kind.alias("_kind"))
