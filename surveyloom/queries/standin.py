@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.sources.readers import spread_small_input
+
 REPLICATES = "PWGTPR"
 BASE = "PWGTP"
 
@@ -62,7 +64,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lines, parts = spread_small_input(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
 
@@ -91,7 +93,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weighted_lines(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
     """Order lines with survey weights, for single operators."""
-    return with_weights(table(spark, sf_dir, "lineitem"), columns)
+    return with_weights(spread_small_input(table(spark, sf_dir, "lineitem")), columns)
 
 
 def harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:

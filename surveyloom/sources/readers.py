@@ -69,3 +69,13 @@ def cut_columns(df: DataFrame, line: str, layout: Mapping[str, tuple[int, int, T
         return (text if isinstance(dtype, T.StringType) else text.try_cast(dtype)).alias(name)
 
     return df.select(*[column(name, *spec) for name, spec in layout.items()])
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before work that multiplies rows.
+
+    Only a small input has so few splits; a large one is left as it is, without
+    a shuffle. Meant for a plain scan: counting its splits runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
