@@ -1,4 +1,4 @@
-"""Staged tables: small results written once and read back.
+"""Staged tables: results written once to the shared folder and read back.
 
 A staged table cuts lineage in a way that survives the loss of executors, and
 gives the optimizer its true size, so that Catalyst itself broadcasts it only
@@ -7,29 +7,32 @@ while it is below ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which every executor can reach.
 
-def staging_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a temporary one only in local mode."""
-    global _local_root
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    Only in local mode, where one process does everything, the warehouse folder
+    stands in for a setting that is missing.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="surveyloom-")
-    return _local_root
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder; nothing is created."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the staging root and return it as a file scan."""
-    path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` below the shared folder and return it as a file scan."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
