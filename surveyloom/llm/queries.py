@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
+from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.risk_rules import apply_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +26,16 @@ def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 24)
 
 
+def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold_one(F.col("doc_id"))
+    found = predict_languages(_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Query] = {
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_jump_hash_shards": op8_jump_hash_shards,
+    "op9_ppm_language_id": op9_ppm_language_id,
 }
 
 SQL: dict[str, str] = {}
