@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
 from surveyloom.llm.ppm import in_fold_one, predict_languages
+from surveyloom.llm.repair import read_shards, write_shards
 from surveyloom.llm.risk_rules import apply_quality_rules
+from surveyloom.sources.staging import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "repair-shards")
+    files = write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_shards(spark, folder, files)
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -33,6 +42,7 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_repair_token_files": op2_repair_token_files,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_jump_hash_shards": op8_jump_hash_shards,
     "op9_ppm_language_id": op9_ppm_language_id,
