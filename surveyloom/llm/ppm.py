@@ -8,8 +8,8 @@ method C) and is looked up in the next shorter context without the bytes that we
 already ruled out, down to the uniform distribution over what is left of 256 values.
 Counts are frozen after training. The language with the shortest code wins.
 
-Training uses at most ``docs_per_language`` labelled documents of each language (those
-whose hashed ids are smallest) with their whole texts; the counts are summed by Spark.
+Training uses about ``docs_per_language`` labelled documents of each language (those
+whose hashed ids are small) with their whole texts; the counts are summed by Spark.
 The trees are as large as the distinct byte 4-grams of that sample. Every document is
 then scored over its whole lower-cased text.
 
@@ -25,9 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Values of the hash that samples documents.
+HASHES = 1 << 30
 UNKNOWN = "und"
 PAD = b"\n\n\n"
 # Positions that are scored at a time; bounds the memory of a task whatever the length of a text.
@@ -61,17 +63,17 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sample_of_languages(docs: DataFrame, docs_per_language: int) -> DataFrame:
-    """``lang, text`` of at most so many documents of each language.
+    """``lang, text`` of about so many documents of each language, or all if there are fewer.
 
-    Ranks are taken over ids alone, and Spark drops what is beyond the limit before
-    it shuffles, so a language with most of the rows is no burden.
+    The share that a language keeps comes from its number of documents; which ones,
+    from a hash of their ids. So the sample is a filter of the scan, without a join.
     """
     labelled = docs.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order))
-    ids = ids.where(F.col("_rank") <= docs_per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    chosen = labelled["doc_id"].eqNullSafe(ids["_id"]) & (labelled["lang"] == ids["_lang"])
-    return labelled.join(ids, chosen, "left_semi").select("lang", "text")
+    sizes = labelled.groupBy("lang").count().collect()
+    if not sizes:
+        return labelled.select("lang", "text")
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(HASHES * min(1.0, docs_per_language / r["count"]))))])
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.element_at(share, F.col("lang"))).select("lang", "text")
 
 
 def train(docs: DataFrame, docs_per_language: int = 1500) -> ContextTrees | None:

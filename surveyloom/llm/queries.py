@@ -12,6 +12,7 @@ from surveyloom.llm.jump_shards import shard_documents
 from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.repair import read_shards, write_shards
 from surveyloom.llm.risk_rules import apply_quality_rules
+from surveyloom.llm.simhash import near_duplicates
 from surveyloom.sources.staging import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, folder, files)
 
 
+def op4_simhash_segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -43,6 +48,7 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_repair_token_files": op2_repair_token_files,
+    "op4_simhash_segment_grid": op4_simhash_segment_grid,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_jump_hash_shards": op8_jump_hash_shards,
     "op9_ppm_language_id": op9_ppm_language_id,
