@@ -19,9 +19,10 @@ ROWS_PER_BLOCK = 2048
 
 
 def in_units(rows: DataFrame, cell: str, salt: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Rows of cells with two rows or more, with a column ``unit`` (long), sorted by it in each partition.
+    """Rows of cells with two rows or more, with columns ``unit, block, other``, sorted by unit in each partition.
 
-    ``salt`` is a long column that differs between the rows of a cell.
+    ``salt`` is a long column that differs between the rows of a cell. A unit holds the
+    rows of one block (``block = other``) or of two.
     """
     sizes = rows.groupBy(F.col(cell).alias("_cell")).agg(F.count("*").alias("_n")).where("_n > 1")
     sized = rows.join(sizes, rows[cell] == sizes["_cell"])
@@ -29,9 +30,9 @@ def in_units(rows: DataFrame, cell: str, salt: str, rows_per_block: int = ROWS_P
     own = F.pmod(F.xxhash64(salt), blocks.cast("long")).cast("int")
     # A cell of one block, by far the most common, is one unit without other blocks.
     other = F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    placed = sized.withColumn("_own", own).withColumn("_other", other)
-    unit = F.xxhash64(cell, F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return placed.withColumn("unit", unit).drop("_cell", "_n", "_own", "_other").repartition("unit").sortWithinPartitions("unit")
+    placed = sized.withColumn("block", own).withColumn("other", other)
+    unit = F.xxhash64(cell, F.least("block", "other"), F.greatest("block", "other"))
+    return placed.withColumn("unit", unit).drop("_cell", "_n").repartition("unit").sortWithinPartitions("unit")
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], some_rows: int = 1 << 16) -> Iterator[pa.Table]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
+from surveyloom.llm.multi_index import near_duplicate_vectors
 from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.repair import read_shards, write_shards
 from surveyloom.llm.risk_rules import apply_quality_rules
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), similarity=0.93)
+
+
 def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "repair-shards")
     files = write_shards(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -47,6 +52,7 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_multi_index_vectors": op1_multi_index_vectors,
     "op2_repair_token_files": op2_repair_token_files,
     "op4_simhash_segment_grid": op4_simhash_segment_grid,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
