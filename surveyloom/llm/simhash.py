@@ -127,18 +127,20 @@ def linked_fingerprints(bits: DataFrame, distance: int, axis_groups: int) -> Dat
     return in_units(cells, "cell", "fp").select("unit", "fp").mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle_words: int = 4, axis_groups: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle_words: int = 4, axis_groups: int = 8) -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest doc_id reachable over links, itself included.
 
-    More ``axis_groups`` make cells smaller and more numerous: 7 gives 35 cells to a
-    fingerprint, each with one in 700,000 others by chance; 10 gives 210, with one in
+    More ``axis_groups`` make cells smaller and more numerous: 8 gives 70 cells to a
+    fingerprint, each with one in 7 million others by chance; 10 gives 210, with one in
     150 million. Any number above ``distance`` finds the same links.
     """
     if axis_groups <= distance:
         raise ValueError(f"axis_groups must be above {distance}; there are {math.comb(axis_groups, distance)} choices")
     prints = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle_words).alias("fp")), "fingerprints")
     groups = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = linked_fingerprints(groups.select("fp"), distance, axis_groups).distinct()
+    # One row becomes very many, so the rows are spread before, whatever their own size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = linked_fingerprints(groups.select("fp").repartition(tasks, "fp"), distance, axis_groups).distinct()
     by_doc = (
         links.join(groups.select(F.col("fp").alias("src"), F.col("least").alias("_a")), "src")
         .join(groups.select(F.col("fp").alias("dst"), F.col("least").alias("_b")), "dst")
