@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
 from surveyloom.llm.multi_index import near_duplicate_vectors
+from surveyloom.llm.piece_trie import MARK, decode_pieces, encode_pieces
 from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.repair import read_shards, write_shards
 from surveyloom.llm.risk_rules import apply_quality_rules
@@ -33,6 +34,14 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, folder, files)
 
 
+def op3_piece_trie_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text (marks read as spaces)."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = _table(spark, sf_dir, "documents").select("doc_id", "text", encode_pieces(F.col("text"), model).alias("ids"))
+    same = decode_pieces(F.col("ids"), model) == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
+    return encoded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 def op4_simhash_segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,7 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_multi_index_vectors": op1_multi_index_vectors,
     "op2_repair_token_files": op2_repair_token_files,
+    "op3_piece_trie_round_trip": op3_piece_trie_round_trip,
     "op4_simhash_segment_grid": op4_simhash_segment_grid,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_jump_hash_shards": op8_jump_hash_shards,
