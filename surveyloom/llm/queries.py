@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
+from surveyloom.llm.line_templates import drop_recurring_lines
 from surveyloom.llm.multi_index import near_duplicate_vectors
+from surveyloom.llm.pfair import mix_sources
 from surveyloom.llm.piece_trie import MARK, decode_pieces, encode_pieces
 from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.repair import read_shards, write_shards
@@ -46,6 +48,11 @@ def op4_simhash_segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
+    return mix_sources(docs, F.col("n_bytes")).drop("n_bytes")
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -60,14 +67,20 @@ def op9_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_multi_index_vectors": op1_multi_index_vectors,
     "op2_repair_token_files": op2_repair_token_files,
     "op3_piece_trie_round_trip": op3_piece_trie_round_trip,
     "op4_simhash_segment_grid": op4_simhash_segment_grid,
+    "op5_pfair_mixture": op5_pfair_mixture,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_jump_hash_shards": op8_jump_hash_shards,
     "op9_ppm_language_id": op9_ppm_language_id,
+    "op10_line_templates": op10_line_templates,
 }
 
 SQL: dict[str, str] = {}
