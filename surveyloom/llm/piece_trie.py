@@ -25,8 +25,10 @@ whole; repeated rows are encoded each; other columns are kept.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -36,9 +38,9 @@ from pyspark.sql import functions as F
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Words and pairs that a worker remembers; beyond this it forgets all and starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 PAIRS_KEPT = 1_000_000
-TEXTS_AT_ONCE = 2000
+TEXTS_AT_ONCE = 1000
 
 
 class PieceModel:
@@ -64,17 +66,16 @@ class PieceModel:
                 self.bytes_of.append(" ⁇ ".encode())
             else:
                 self.bytes_of.append(b"" if special[i] else piece.replace(MARK, " ").encode())
-        # Lengths of the pieces that end with the given three or two characters, longest first.
-        self.lengths: dict[str, tuple[int, ...]] = {}
-        found: dict[str, set[int]] = {}
-        for piece in self.ids:
-            if len(piece) > 1:
-                found.setdefault(piece[-2:], {1}).add(len(piece))
-            if len(piece) > 2:
-                found.setdefault(piece[-3:], {1, 2}).add(len(piece))
-        self.lengths = {ending: tuple(sorted(n, reverse=True)) for ending, n in found.items()}
+        # Finds every piece that ends at a character, with its id; longer pieces come first.
+        self.matcher = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.matcher.add_word(piece, i)
+        self.matcher.make_automaton()
+        self.longest = max(map(len, self.ids))
+        self.piece_of = [model.id_to_piece(i) for i in range(n)] + [""]
+        self.nothing = n
         self.words: dict[str, bytes] = {}
-        self.side_by_side: dict[tuple[str, str], bool] = {}
+        self.side_by_side: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best-scored pair first, the leftmost of equals."""
@@ -90,54 +91,55 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, left: str, right: str) -> bool:
+    def may_follow(self, left: int, right: int) -> bool:
         """Whether merges leave two pieces side by side; after nothing, whether they can make the piece at all."""
         if len(self.side_by_side) > PAIRS_KEPT:
             self.side_by_side.clear()
-        wanted = [left, right] if left else [right]
-        known = self.side_by_side[(left, right)] = self.merged(left + right) == wanted
+        pair = [p for p in (self.piece_of[left], self.piece_of[right]) if p]
+        known = self.side_by_side[left << 32 | right] = self.merged("".join(pair)) == pair
         return known
 
-    def _ids_of(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for piece in pieces:
-            i = self.ids.get(piece)
-            if i is None:
-                out += [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(i)
-        return np.array(out, "<i4").tobytes()
-
     def _learn(self, words: list[str]) -> None:
-        """Depth-first over the trie of the words; ``last[i]`` is the last piece of the path to the prefix of length i."""
-        ids, lengths, known_pairs, may_follow = self.ids, self.lengths, self.side_by_side, self.may_follow
-        only_one = (1,)
-        previous, last = "", [""]
+        """Depth-first over the trie of the words; ``last[i]`` is the last piece of the path to the prefix of length i.
+
+        A character that is in no piece takes part in no merge; the path goes over it
+        and what follows stands as after nothing.
+        """
+        matches, known_pairs, may_follow, nothing = self.matcher.iter, self.side_by_side, self.may_follow, self.nothing
+        sizes = [len(p) for p in self.piece_of]
+        reach = self.longest - 1
+        previous, last = "", [nothing]
         for word in sorted(words):
-            shared, most = 0, min(len(previous), len(word))
-            while shared < most and previous[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                sizes = (lengths.get(word[end - 3 : end]) if end > 2 else None) or lengths.get(word[end - 2 : end], only_one)
-                for size in sizes if end > 1 else only_one:
-                    if size > end:
-                        continue
-                    piece, before = word[end - size : end], last[end - size]
-                    if piece not in ids and size > 1:
-                        continue
-                    fits = known_pairs.get((before, piece))
-                    if fits or (fits is None and may_follow(before, piece)):
-                        last.append(piece)
-                        break
-                else:
-                    raise ValueError(f"no segmentation reaches {word[:end]!r}")
+            done, most = 0, min(len(previous), len(word))
+            while done < most and previous[done] == word[done]:
+                done += 1
+            del last[done + 1 :]
             previous = word
-            pieces, end = [], len(word)
+            for at, piece in matches(word, max(0, done - reach)):
+                if at < done:
+                    continue
+                while done < at:
+                    last.append(nothing)
+                    done += 1
+                before = last[at + 1 - sizes[piece]]
+                fits = known_pairs.get(before << 32 | piece)
+                if fits or (fits is None and may_follow(before, piece)):
+                    last.append(piece)
+                    done += 1
+            end = len(word)
+            while done < end:
+                last.append(nothing)
+                done += 1
+            path: list[int] = []
             while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            self.words[word] = self._ids_of(pieces[::-1])
+                piece = last[end]
+                if piece == nothing:
+                    path += [self.byte_id[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass"))]
+                    end -= 1
+                else:
+                    path.append(piece)
+                    end -= sizes[piece]
+            self.words[word] = array("i", path[::-1]).tobytes()
 
     def _several_marks(self, word: str) -> bytes:
         # The library puts one mark in front of what it is given.
