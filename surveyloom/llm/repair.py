@@ -44,7 +44,10 @@ HEAD = struct.Struct("<4s4I2Q")
 TOKENS_PER_SHARD = 1 << 21
 # A rule takes 12 bytes and saves one symbol of 2 bytes wherever it is used.
 LEAST_USES = 8
-RULES_PER_ROUND = 3000
+RULES_PER_ROUND = 6000
+# Slots of the table that finds a chosen pair, and the odd factor that spreads pairs over it.
+SLOT_BITS = 20
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS_OF_TWO_BYTES = 1 << 16
 
 
@@ -111,35 +114,46 @@ def compress(tokens: np.ndarray, doc_tokens: np.ndarray, base: int) -> tuple[np.
     ``base`` is above every id. In one round the most frequent pairs are replaced
     together, from left to right where they overlap.
     """
-    seq = tokens.astype(np.int64)
+    room = max(SYMBOLS_OF_TWO_BYTES - base, 0) or (1 << 20)
+    # A pair fits into 32 bits as long as symbols fit into 16.
+    kind, half = (np.uint32, 16) if base + room <= SYMBOLS_OF_TWO_BYTES else (np.uint64, 32)
+    seq = tokens.astype(kind)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_tokens.astype(np.int64))[doc_tokens > 0] - 1] = True
     rules, lengths = np.empty((0, 2), np.int64), np.ones(base, np.int64)
-    room = max(SYMBOLS_OF_TWO_BYTES - base, 0) or (1 << 20)
+    slot_of_pair = np.empty(1 << SLOT_BITS, np.int32)
+
+    def slots(pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * SPREAD) >> np.uint64(64 - SLOT_BITS)
+
     while room > 0 and len(seq) > 1:
-        pair = (seq[:-1] << 32) | seq[1:]
-        pair[last[:-1]] = -1
+        pair = (seq[:-1] << kind(half)) | seq[1:]
+        inside = np.flatnonzero(~last[:-1])
+        pair = pair[inside]
         found, n = np.unique(pair, return_counts=True)
-        frequent = np.flatnonzero((n >= LEAST_USES) & (found >= 0))
+        frequent = np.flatnonzero(n >= LEAST_USES)
         if not len(frequent):
             break
-        frequent = frequent[np.argsort(-n[frequent], kind="stable")[: min(RULES_PER_ROUND, room)]]
-        chosen = np.sort(found[frequent])
-        rule = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        at = np.flatnonzero(chosen[rule] == pair)
+        # The rarest first, so that of two pairs in one slot the more frequent one stays; the other has its turn later.
+        chosen = found[frequent[np.argsort(-n[frequent], kind="stable")[: min(RULES_PER_ROUND, room)]][::-1]]
+        slot_of_pair.fill(0)
+        slot_of_pair[slots(chosen)] = np.arange(len(chosen))
+        rule = slot_of_pair[slots(pair)]
+        hit = np.flatnonzero(chosen[rule] == pair)
+        at, rule = inside[hit], rule[hit]
         # Of pairs that overlap in a run, every other one is taken.
         run_start = np.ones(len(at), bool)
         run_start[1:] = at[1:] != at[:-1] + 1
         place = np.arange(len(at))
-        at = at[(place - np.maximum.accumulate(np.where(run_start, place, 0))) % 2 == 0]
-        uses = np.bincount(rule[at], minlength=len(chosen))
-        worth = uses >= LEAST_USES
+        even = (place - np.maximum.accumulate(np.where(run_start, place, 0))) % 2 == 0
+        at, rule = at[even], rule[even]
+        worth = np.bincount(rule, minlength=len(chosen)) >= LEAST_USES
         if not worth.any():
             break
-        at = at[worth[rule[at]]]
+        at, rule = at[worth[rule]], rule[worth[rule]]
         number = np.cumsum(worth) - 1 + base + len(rules)
-        made = np.stack([chosen[worth] >> 32, chosen[worth] & 0xFFFFFFFF], axis=1)
-        seq[at] = number[rule[at]]
+        made = np.stack([chosen[worth] >> kind(half), chosen[worth] & kind((1 << half) - 1)], axis=1).astype(np.int64)
+        seq[at] = number[rule]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         last[at] = last[at + 1]
