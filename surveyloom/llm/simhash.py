@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle_words: int = 4,
     groups = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     # One row becomes very many, so the rows are spread before, whatever their own size.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = linked_fingerprints(groups.select("fp").repartition(tasks, "fp"), distance, axis_groups).distinct()
+    links = linked_fingerprints(groups.select("fp").repartition(tasks), distance, axis_groups).distinct()
     by_doc = (
         links.join(groups.select(F.col("fp").alias("src"), F.col("least").alias("_a")), "src")
         .join(groups.select(F.col("fp").alias("dst"), F.col("least").alias("_b")), "dst")
