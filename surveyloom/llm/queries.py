@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from surveyloom.llm.jump_shards import shard_documents
 from surveyloom.llm.line_templates import drop_recurring_lines
 from surveyloom.llm.multi_index import near_duplicate_vectors
+from surveyloom.llm.ordinal import grade_toxicity
 from surveyloom.llm.pfair import mix_sources
 from surveyloom.llm.piece_trie import MARK, decode_pieces, encode_pieces
 from surveyloom.llm.ppm import in_fold_one, predict_languages
@@ -53,6 +54,10 @@ def op5_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, F.col("n_bytes")).drop("n_bytes")
 
 
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed_rules")
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_piece_trie_round_trip": op3_piece_trie_round_trip,
     "op4_simhash_segment_grid": op4_simhash_segment_grid,
     "op5_pfair_mixture": op5_pfair_mixture,
+    "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_jump_hash_shards": op8_jump_hash_shards,
     "op9_ppm_language_id": op9_ppm_language_id,
