@@ -32,8 +32,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -41,6 +42,7 @@ WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 WORDS_KEPT = 300_000
 PAIRS_KEPT = 1_000_000
 TEXTS_AT_ONCE = 1000
+TEXTS_HANDED_ON = 500
 
 
 class PieceModel:
@@ -183,6 +185,41 @@ def model_of(path: str) -> PieceModel:
     return _models[path]
 
 
+def _list_array(encoded: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(encoded) + 1, np.int32)
+    np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+
+
+def encode_documents(docs: DataFrame, model_file: str, decoded: bool = False) -> DataFrame:
+    """``docs`` without ``text``, with ``ids``, ``n_pieces`` and ``round_trip``: whether the ids decode to the text.
+
+    With ``decoded``, ``text`` is what the ids decode to. One Python worker encodes and
+    decodes, and hands on some hundred documents at a time, whatever comes in.
+    """
+    results = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.IntegerType(), "round_trip": T.BooleanType()}
+    if decoded:
+        results["text"] = T.StringType()
+    kept = [c for c in docs.columns if c not in results and c != "text"]
+    shape = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, kind) for n, kind in results.items())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(model_file)
+        for batch in batches:
+            for low in range(0, batch.num_rows, TEXTS_HANDED_ON):
+                some = batch.slice(low, TEXTS_HANDED_ON)
+                texts = [t or "" for t in some[len(kept)].to_pylist()]
+                encoded = model.encode(texts)
+                back = [model.decode(np.frombuffer(e, "<i4").tolist()) for e in encoded]
+                same = [a == b.replace(MARK, " ") for a, b in zip(back, texts)]
+                columns = [some[i] for i in range(len(kept))]
+                columns += [_list_array(encoded), pa.array([len(e) // 4 for e in encoded], pa.int32()), pa.array(same)]
+                columns += [pa.array(back, pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text")).mapInArrow(encode, shape)
+
+
 def encode_pieces(text: Column, model_file: str) -> Column:
     """Piece ids of a text column."""
 
@@ -193,9 +230,7 @@ def encode_pieces(text: Column, model_file: str) -> Column:
             encoded: list[bytes] = []
             for low in range(0, len(batch), TEXTS_AT_ONCE):
                 encoded += model.encode([t or "" for t in batch.slice(low, TEXTS_AT_ONCE).to_pylist()])
-            offsets = np.zeros(len(encoded) + 1, np.int32)
-            np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+            yield _list_array(encoded)
 
     return encode(text)
 

@@ -13,7 +13,7 @@ from surveyloom.llm.line_templates import drop_recurring_lines
 from surveyloom.llm.multi_index import near_duplicate_vectors
 from surveyloom.llm.ordinal import grade_toxicity
 from surveyloom.llm.pfair import mix_sources
-from surveyloom.llm.piece_trie import MARK, decode_pieces, encode_pieces
+from surveyloom.llm.piece_trie import encode_documents
 from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.repair import read_shards, write_shards
 from surveyloom.llm.risk_rules import apply_quality_rules
@@ -39,10 +39,8 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_piece_trie_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text (marks read as spaces)."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = _table(spark, sf_dir, "documents").select("doc_id", "text", encode_pieces(F.col("text"), model).alias("ids"))
-    same = decode_pieces(F.col("ids"), model) == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return encoded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_simhash_segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
