@@ -34,7 +34,8 @@ RESULTS = ["text", "n_lines", "n_dropped", "dropped"]
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, r"\S*[0-9]\S*", VARIABLE), r"\s+"), "")
+    # Tried at the start of a token only and without going back, so a long token costs its length.
+    return F.array_remove(F.split(F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE), r"\s+"), "")
 
 
 def _field(tokens: Column, i: int) -> Column:
@@ -44,12 +45,12 @@ def _field(tokens: Column, i: int) -> Column:
     return F.xxhash64(F.array_join(F.slice(tokens, low + 1, high - low), " "))
 
 
-def parsed_lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """``doc_id, text_hash, place, template, leaf, n_tokens, f0..``: one row for each line that has a template."""
+def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
+    """``doc_id, text_hash, place, template, leaf, n_tokens, f0..``: one row for each line."""
     lines = docs.where("text is not null").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line")
     )
-    cut = lines.select("doc_id", "text_hash", "place", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= least_tokens)
+    cut = lines.select("doc_id", "text_hash", "place", _tokens(F.col("line")).alias("tokens"))
     tokens = F.col("tokens")
     return cut.select(
         "doc_id",
@@ -73,7 +74,8 @@ def general_leaves(lines: DataFrame, similarity: float) -> DataFrame:
 
 def recurring_places(docs: DataFrame, depth: int = 3, similarity: float = 0.75, least_tokens: int = 3) -> DataFrame:
     """``_doc, _hash, dropped``: the places of the lines that go, for every document that loses some."""
-    lines = stage(parsed_lines(docs, depth, least_tokens), "lines")
+    # The filter comes after staging; before, Spark would cut every line into tokens twice.
+    lines = stage(parsed_lines(docs, depth), "lines").where(F.col("n_tokens") >= least_tokens)
     leaves = general_leaves(lines, similarity)
     slim = lines.select("doc_id", "text_hash", "place", "template", "leaf")
     named = slim.join(leaves, slim["leaf"] == leaves["general"], "left").select(
