@@ -261,8 +261,9 @@ def read_shards(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
     """
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.rpr")
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    docs = names.schema(schema).load(folder).select("path", "content").mapInArrow(_decode, READ_DDL)
+    if files.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.rpr").load(folder).select("path", "content")
+    docs = contents.mapInArrow(_decode, READ_DDL)
     joined = docs.join(offsets, docs["file"] == offsets["_file"])
     return joined.select("doc_id", (F.col("_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "file")
