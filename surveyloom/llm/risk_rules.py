@@ -105,7 +105,7 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         at = F.get(s, i).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
         return F.struct(F.concat_ws(" ", F.get(w, at), F.get(w, at + 1), F.get(w, at + 2)).alias("words"), at.alias("at"))
 
-    spelled_out = met.withColumn("_met", F.array_sort(F.transform("_met", spelled)))
+    spelled_out = met.withColumn("_met", F.sort_array(F.transform("_met", spelled)))
     m = F.col("_met")
     places = spelled_out.withColumn("_places", _equal_neighbours(m, lambda x: x["words"])).withColumn(
         "_places", F.sort_array(F.transform("_places", lambda i: F.get(m, i)["at"]))
