@@ -15,7 +15,8 @@ then scored over its whole lower-cased text.
 
 Rules for odd input: NULL text or text without a letter is ``und`` with score 0 and
 no code length; ties go to the language that sorts first; repeated rows are scored
-each; without labelled documents every text is ``und``; other columns are kept.
+each; without labelled documents every text is ``und``. Input columns are kept, but for those
+that have the name of a result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 # Values of the hash that samples documents.
 HASHES = 1 << 30
+RESULTS = ["lang_pred", "score", "bits_per_byte"]
 UNKNOWN = "und"
 PAD = b"\n\n\n"
 # Positions that are scored at a time; bounds the memory of a task whatever the length of a text.
@@ -199,8 +201,9 @@ def identify(spark: SparkSession, trees: ContextTrees | None, text: Column) -> C
 def predict_languages(docs: DataFrame, learners: Column, docs_per_language: int = 1500) -> DataFrame:
     """``docs`` with ``lang_pred, score, bits_per_byte``; trees are learned from rows where ``learners`` holds."""
     trees = train(docs.where(learners), docs_per_language)
-    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns], identify(docs.sparkSession, trees, F.col("text")).alias("_found"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "_found.*")
+    found = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)], identify(docs.sparkSession, trees, F.col("text")).alias("found"))
+    kept = [F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in RESULTS]
+    return found.select(*kept, *[F.col(f"found.{c}").alias(c) for c in RESULTS])
 
 
 def in_fold_one(doc_id: Column) -> Column:
