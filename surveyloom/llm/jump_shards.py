@@ -86,7 +86,7 @@ def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
     )
     span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
     low = span["low"] or 0
-    width = max(1, ((span["high"] or 0) - low + 1) * n_shards * ROWS_PER_CHUNK // max(1, span["n"]))
+    width = min(max(1, ((span["high"] or 0) - low + 1) * n_shards * ROWS_PER_CHUNK // max(1, span["n"])), 2**62)
     at = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
     # Documents without a key share key 0; their checksums deal them out.
     rows = rows.withColumn("_chunk", F.coalesce(at, -1 - F.col("text_crc32") % 1024))

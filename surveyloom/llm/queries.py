@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
+from surveyloom.llm import sql
 from surveyloom.llm.line_templates import drop_recurring_lines
 from surveyloom.llm.multi_index import near_duplicate_vectors
 from surveyloom.llm.ordinal import grade_toxicity
@@ -87,4 +88,8 @@ QUERIES: dict[str, Query] = {
     "op10_line_templates": op10_line_templates,
 }
 
-SQL: dict[str, str] = {}
+# The others write files, hash, train or count bits in ways that SQL cannot follow; see tests/llm.
+SQL: dict[str, str] = {
+    "op1_multi_index_vectors": sql.OP1,
+    "op7_risk_controlled_rules": sql.OP7,
+}
