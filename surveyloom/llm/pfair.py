@@ -80,8 +80,8 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` with ``size, block, pass_no, slot, release_slot, deadline_slot``; rows in slot order are the mixture.
 
-    ``targets`` gives the weight of every source; without it, weights are the sizes of
-    the sources to ``power``. A source then repeats at most
+    ``targets`` gives the weight of every source; without it, weights are the numbers of
+    blocks of the sources to ``power``. A source then repeats at most
     ``(largest / own) ** (1 - power)`` times.
     """
     spark = docs.sparkSession
@@ -97,7 +97,7 @@ def mix_sources(
     if not totals:
         return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], *[F.lit(0).cast("long").alias(c) for c in RESULTS])
     blocks = [-(-r["n"] // block_size) for r in totals]
-    weights = tempered([r["n"] for r in totals], power) if targets is None else [targets[r["_source"]] for r in totals]
+    weights = tempered(blocks, power) if targets is None else [targets[r["_source"]] for r in totals]
     period = max(resolution, 10 * len(totals))
     parts = whole_parts(weights, period)
     slots = one_period(parts)
