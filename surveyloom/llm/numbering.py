@@ -18,15 +18,15 @@ def running_total(
 ) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows of the key before this one.
 
-    A NULL key is a key of its own. The order must be total up to rows that are
+    A NULL key is a key of its own; ``chunk`` is never NULL. The order must be total up to rows that are
     equal in every column, else the totals of tied rows may swap places.
     """
-    totals = df.groupBy(key, chunk).agg(F.sum(weight).alias("_inside"))
-    earlier = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col(key).alias("_key"), F.col(chunk).alias("_chunk"), F.coalesce(F.sum("_inside").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    joined = local.join(starts, local[key].eqNullSafe(starts["_key"]) & local[chunk].eqNullSafe(starts["_chunk"]), "left")
-    return joined.withColumn(name, F.col("_start") + F.col("_local")).drop("_key", "_chunk", "_start", "_local")
+    # Plain equality of columns that are never NULL lets the join use the window's partitions.
+    piece = ["_no_key", "_key", "_piece"]
+    keyed = df.withColumns({"_no_key": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "_piece": F.col(chunk)})
+    totals = keyed.groupBy(*piece).agg(F.sum(weight).alias("_inside"))
+    earlier = Window.partitionBy("_no_key", "_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*piece, F.coalesce(F.sum("_inside").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = keyed.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return local.join(starts, piece).withColumn(name, F.col("_start") + F.col("_local")).drop(*piece, "_start", "_local")
