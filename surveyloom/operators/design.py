@@ -22,8 +22,6 @@ from surveyloom.operators.tquantile import t_quantile_column
 from surveyloom.sources.staging import stage
 
 REPLICATE = "_r"
-# Bit i is set where a group has rows of block i.
-PRESENT = "_present"
 # Whole-stage code generation stops above 100 columns, keys and weight included.
 MAX_COLUMNS_PER_PASS = 100
 
@@ -37,6 +35,11 @@ def _as_blocks(by, measures, where, domains) -> dict[str, Block]:
     }
 
 
+def _rows_name(label: str) -> str:
+    """Column that counts the rows of a block; a group without any has no estimate of it."""
+    return f"{label}__rows"
+
+
 def _any_block(blocks: Mapping[str, Block]) -> Column | None:
     conds = [b.where for b in blocks.values()]
     return None if any(c is None for c in conds) else reduce(Column.__or__, conds)
@@ -115,7 +118,7 @@ class ReplicateSums:
         return ReplicateSums(stage(self.df, name), self.keys, self.blocks, self.scale)
 
     def _present(self, label: str) -> Column:
-        return quantile.has_bit(F.col(PRESENT), list(self.blocks).index(label))
+        return F.col(_rows_name(label)) > 0
 
     def _select(self, label: str, by: Sequence[str] | None, measures: Sequence[Measure] | None):
         block = self.blocks[label]
@@ -186,9 +189,14 @@ class ReplicateDesign:
         weight: str,
         replicates: Sequence[str] | str,
         scale: float | None = None,
-        count: int = 80,
+        count: int | None = None,
     ):
-        """``replicates`` names the weight columns, or one array column of ``count`` weights."""
+        """``replicates`` names the weight columns, or one array column of ``count`` weights.
+
+        The count of an array is required; rows with another number of weights fail.
+        """
+        if isinstance(replicates, str) and count is None:
+            raise ValueError("an array of replicate weights needs its count")
         self.df, self.weight = df, weight
         self.replicates = replicates if isinstance(replicates, str) else list(replicates)
         self.count = count if isinstance(replicates, str) else len(self.replicates)
@@ -200,19 +208,22 @@ class ReplicateDesign:
     def _all_weights(self) -> Column:
         base = F.col(self.weight).cast("double")
         if isinstance(self.replicates, str):
-            return F.concat(F.array(base), F.col(self.replicates))
+            weights = F.col(self.replicates)
+            wrong = F.raise_error(F.format_string("expected %d replicate weights, found %d", F.lit(self.count), F.size(weights)))
+            return F.concat(F.array(base), F.when(F.size(weights) == self.count, weights).otherwise(wrong))
         return F.array(base, *[F.col(c).cast("double") for c in self.replicates])
 
     def sums(self, by: Sequence[str], blocks: Mapping[str, Block], medians: DataFrame | None = None) -> ReplicateSums:
         """One pass over the persons for all blocks."""
         keys, blocks = list(by), dict(blocks)
-        width = [len(_terms(b)) for b in blocks.values()]
+        width = [len(_terms(b)) + 1 for b in blocks.values()]
         if sum(width) + len(keys) + 3 > MAX_COLUMNS_PER_PASS and len(blocks) > 1:
             return self._sums_in_passes(keys, blocks, medians)
         sums: dict[str, Column] = {}
         for label, block in blocks.items():
+            sums[_rows_name(label)] = F.lit(1) if block.where is None else F.coalesce(block.where, F.lit(False)).cast("int")
             for kind, var in _terms(block):
-                x = F.col(var).cast("double") if var else None
+                x = quantile.number(var) if var else None
                 if kind == "w":
                     value = F.lit(1.0)
                 elif kind == "wx":
@@ -229,12 +240,10 @@ class ReplicateDesign:
         if medians is not None:
             persons = join_on(persons, medians, keys, "left")
         # The inputs are fixed below the explode, once per person and not once per weight.
-        mask = quantile.membership_mask([b.where for b in blocks.values()]).alias(PRESENT)
-        inputs = persons.select(*keys, mask, *[c.alias(n) for n, c in sums.items()], self._all_weights().alias("_ws"))
-        long = inputs.select(*keys, PRESENT, *sums, F.posexplode("_ws").alias(REPLICATE, "_w"))
-        unweighted = {n for n in sums if "__null__" in n}
+        inputs = persons.select(*keys, *[c.alias(n) for n, c in sums.items()], self._all_weights().alias("_ws"))
+        long = inputs.select(*keys, *sums, F.posexplode("_ws").alias(REPLICATE, "_w"))
+        unweighted = {n for n in sums if "__null__" in n} | {_rows_name(x) for x in blocks}
         df = long.groupBy(*keys, REPLICATE).agg(
-            F.bit_or(PRESENT).alias(PRESENT),
             *[F.sum(F.col(n) if n in unweighted else F.col("_w") * F.col(n)).alias(n) for n in sums],
         )
         return ReplicateSums(df, keys, blocks, self.scale)
@@ -245,10 +254,8 @@ class ReplicateDesign:
         half = len(labels) // 2
         low, high = (self.sums(keys, {x: blocks[x] for x in part}, medians).df for part in (labels[:half], labels[half:]))
         on = [*keys, REPLICATE]
-        both = join_on(low, high.withColumnRenamed(PRESENT, "_high"), on, "full_outer")
-        mask = F.coalesce(F.col(PRESENT), F.lit(0)).bitwiseOR(F.shiftleft(F.coalesce(F.col("_high"), F.lit(0)), half))
-        sums = [c for c in both.columns if c not in (*on, PRESENT, "_high")]
-        df = both.select(*on, mask.alias(PRESENT), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in sums])
+        both = join_on(low, high, on, "full_outer")
+        df = both.select(*on, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in both.columns if c not in on])
         return ReplicateSums(df, keys, blocks, self.scale)
 
     def estimate(
@@ -268,13 +275,15 @@ class ReplicateDesign:
         sums = self.estimate_sums(by, blocks)
         return sums.block("all") if domains is None else sums.stacked(name)
 
-    def _medians(self, keys: list[str], blocks: Mapping[str, Block]) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Histogram, bucket totals, and medians per ``(block, var, *keys)``."""
+    def _medians(self, keys: list[str], blocks: Mapping[str, Block], keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Histogram, bucket totals, and medians per ``(block, var, *keys)``; ``keep`` stages the histogram for later limits."""
         members = _median_members(blocks)
         base = _any_block({x: blocks[x] for x in members})
         persons = self.df if base is None else self.df.where(base)
         group = ["_block", "_var", *keys]
         hist = quantile.weight_histogram(persons, keys, self.weight, members)
+        if keep:
+            hist = stage(hist, "histogram")
         buckets = quantile.bucket_totals(hist, group)
         return hist, buckets, quantile.locate(hist, buckets, group, F.lit(0.5), "_median")
 
@@ -292,7 +301,7 @@ class ReplicateDesign:
         members = _median_members(blocks)
         if not members:
             return self.sums(keys, blocks)
-        hist, buckets, mid = self._medians(keys, blocks)
+        hist, buckets, mid = self._medians(keys, blocks, keep=True)
         mid = stage(mid, "medians")
         # One row per key; Catalyst broadcasts it only while the written size is small.
         wide = mid.groupBy(*keys).agg(
@@ -384,30 +393,31 @@ class LinearDesign:
         base = _any_block(blocks)
         persons = self.df if base is None else self.df.where(base)
         variables = list(dict.fromkeys(m.column for m in measures if m.column))
-        # A membership list per row; the copies carry only the weight and the inputs.
-        inside = F.array_compact(
-            F.array(*[F.lit(x) if b.where is None else F.when(b.where, F.lit(x)) for x, b in blocks.items()])
-        )
+        # Persons collapse by keys and membership pattern; only the collapsed rows are copied to their domains.
+        masks = quantile.mask_names(len(blocks))
         w = F.col("_w")
         slim = persons.select(
             *keys,
             F.col(self.weight).cast("double").alias("_w"),
-            *[F.col(v).cast("double").alias(f"_x_{v}") for v in variables],
-            F.explode(inside).alias(name),
+            *[quantile.number(v).alias(f"_x_{v}") for v in variables],
+            *quantile.membership_masks([b.where for b in blocks.values()]),
         )
-        aggs = [F.count("*").alias("_n"), F.sum(w).alias("_sw"), F.sum(w * w).alias("_sww")]
+        aggs = {"_n": F.count("*"), "_sw": F.sum(w), "_sww": F.sum(w * w)}
         for v in variables:
             x = F.col(f"_x_{v}")
             known = x.isNotNull()
-            aggs += [
-                F.count_if(x.isNull()).alias(f"_null_{v}"),
-                F.coalesce(F.sum(w * x), F.lit(0.0)).alias(f"_wx_{v}"),
-                F.coalesce(F.sum(w * w * x), F.lit(0.0)).alias(f"_wwx_{v}"),
-                F.coalesce(F.sum(w * w * x * x), F.lit(0.0)).alias(f"_wwxx_{v}"),
-                F.coalesce(F.sum(F.when(known, w)), F.lit(0.0)).alias(f"_wk_{v}"),
-                F.coalesce(F.sum(F.when(known, w * w)), F.lit(0.0)).alias(f"_wwk_{v}"),
-            ]
-        groups = slim.groupBy(name, *keys).agg(*aggs)
+            aggs |= {
+                f"_null_{v}": F.count_if(x.isNull()),
+                f"_wx_{v}": F.coalesce(F.sum(w * x), F.lit(0.0)),
+                f"_wwx_{v}": F.coalesce(F.sum(w * w * x), F.lit(0.0)),
+                f"_wwxx_{v}": F.coalesce(F.sum(w * w * x * x), F.lit(0.0)),
+                f"_wk_{v}": F.coalesce(F.sum(F.when(known, w)), F.lit(0.0)),
+                f"_wwk_{v}": F.coalesce(F.sum(F.when(known, w * w)), F.lit(0.0)),
+            }
+        patterns = slim.groupBy(*keys, *masks).agg(*[c.alias(n) for n, c in aggs.items()])
+        inside = F.array_compact(F.array(*[F.when(quantile.has_bit(i), F.lit(x)) for i, x in enumerate(blocks)]))
+        copies = patterns.select(*keys, *aggs, F.explode(inside).alias(name))
+        groups = copies.groupBy(name, *keys).agg(*[F.sum(n).alias(n) for n in aggs])
         # One row per domain, and the domains are program text: a bounded side.
         sizes = groups.groupBy(name).agg(F.sum("_n").cast("double").alias("_rows"))
         groups = groups.join(F.broadcast(sizes), name)

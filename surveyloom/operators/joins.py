@@ -59,7 +59,7 @@ def in_list(df: DataFrame, codes: DataFrame, column: str, list_column: str) -> D
 
 def missing_from(expected: DataFrame, found: DataFrame, column: str, found_column: str) -> DataFrame:
     """Distinct expected codes that do not occur in ``found``."""
-    have = found.select(F.col(found_column).alias(column))
+    have = found.select(F.col(found_column).alias(column)).distinct()
     return join_on(expected.select(column).distinct(), have, [column], "left_anti")
 
 

@@ -27,19 +27,34 @@ def value_bucket(x: Column) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_LOG_UNIT)
 
 
-def membership_mask(conds: Sequence[Column | None]) -> Column:
-    """Whole number with bit i set where condition i holds (always, when None)."""
-    if len(conds) > 62:
-        raise ValueError("at most 62 blocks fit one membership mask")
-    mask = F.lit(0).cast("long")
-    for i, cond in enumerate(conds):
-        bit = F.lit(1 << i).cast("long")
-        mask = mask.bitwiseOR(bit if cond is None else F.when(cond, bit).otherwise(F.lit(0).cast("long")))
-    return mask
+BITS = 62
 
 
-def has_bit(mask: Column, i: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0
+def membership_masks(conds: Sequence[Column | None]) -> list[Column]:
+    """Columns ``_mask0, _mask1, ...`` whose bits tell which conditions hold (always, when None)."""
+    masks = []
+    for low in range(0, len(conds), BITS):
+        mask = F.lit(0).cast("long")
+        for i, cond in enumerate(conds[low : low + BITS]):
+            bit = F.lit(1 << i).cast("long")
+            mask = mask.bitwiseOR(bit if cond is None else F.when(cond, bit).otherwise(F.lit(0).cast("long")))
+        masks.append(mask.alias(f"_mask{low // BITS}"))
+    return masks
+
+
+def mask_names(n: int) -> list[str]:
+    return [f"_mask{i}" for i in range(-(-n // BITS))]
+
+
+def has_bit(i: int) -> Column:
+    """Whether condition i holds, from the columns of ``membership_masks``."""
+    return F.col(f"_mask{i // BITS}").bitwiseAND(F.lit(1 << i % BITS).cast("long")) != 0
+
+
+def number(column: str) -> Column:
+    """A measure as a double; not-a-number is missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def weight_histogram(
@@ -53,23 +68,23 @@ def weight_histogram(
     """
     labels = list(members)
     variables = list(dict.fromkeys(v for cols in members.values() for v in cols["columns"]))
-    mask = membership_mask([spec["where"] for spec in members.values()])
+    masks = mask_names(len(members))
     rows = df.select(
         *keys,
         F.col(weight).cast("double").alias("_w"),
-        mask.alias("_mask"),
+        *membership_masks([spec["where"] for spec in members.values()]),
         F.explode(
-            F.array(*[F.struct(F.lit(v).alias("_var"), F.col(v).cast("double").alias("_x")) for v in variables])
+            F.array(*[F.struct(F.lit(v).alias("_var"), number(v).alias("_x")) for v in variables])
         ).alias("_v"),
-    ).select(*keys, "_w", "_mask", F.col("_v._var").alias("_var"), F.col("_v._x").alias("_x"))
+    ).select(*keys, "_w", *masks, F.col("_v._var").alias("_var"), F.col("_v._x").alias("_x"))
     cells = (
         rows.where(F.col("_x").isNotNull())
-        .groupBy("_var", *keys, "_mask", "_x")
+        .groupBy("_var", *keys, *masks, "_x")
         .agg(F.sum("_w").alias("_w"), F.count("*").alias("_n"))
     )
     in_blocks = []
     for i, label in enumerate(labels):
-        wanted = has_bit(F.col("_mask"), i) & F.col("_var").isin(*members[label]["columns"])
+        wanted = has_bit(i) & F.col("_var").isin(*members[label]["columns"])
         in_blocks.append(F.when(wanted, F.lit(label)))
     return (
         cells.select("_var", *keys, "_x", "_w", "_n", F.explode(F.array(*in_blocks)).alias("_block"))

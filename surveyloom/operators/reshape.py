@@ -27,20 +27,27 @@ def to_long(df: DataFrame, name: str = "name", value: str = "value") -> DataFram
     return cast.unpivot([], df.columns, name, value)
 
 
-def to_wide(df: DataFrame, keys: Sequence[str], names: str, value: str, levels: Sequence) -> DataFrame:
-    """One column per named level; the levels are given, so no extra job runs."""
-    return df.groupBy(*keys).pivot(names, list(levels)).agg(F.first(value))
+def to_wide(df: DataFrame, keys: Sequence[str], names: str, value: str, levels: Sequence | None = None) -> DataFrame:
+    """One column per level of ``names``.
+
+    Without ``levels`` they are read from the data in a job of their own. With them no
+    job runs, and a row of a level that is not listed fails instead of vanishing.
+    """
+    if levels is None:
+        return df.groupBy(*keys).pivot(names).agg(F.first(value))
+    unlisted = F.raise_error(F.format_string("%s is not a listed level", F.col(names)))
+    checked = F.when(F.col(names).isNull() | F.col(names).isin(list(levels)), F.col(names)).otherwise(unlisted)
+    return df.withColumn(names, checked).groupBy(*keys).pivot(names, list(levels)).agg(F.first(value))
 
 
 def column_shares(df: DataFrame, shares: Mapping[str, str]) -> DataFrame:
     """Add each column's share of its own total.
 
-    The totals are one row from a partial aggregation; it is joined back on a
-    constant, so rows are never gathered in one task.
+    The totals are scalar subqueries: one number each from a partial aggregation,
+    without a join.
     """
-    totals = df.agg(*[F.sum(c).alias(f"_t_{c}") for c in shares.values()])
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one")
-    return joined.select(*df.columns, *[share(F.col(c), F.col(f"_t_{c}")).alias(p) for p, c in shares.items()])
+    totals = {c: df.agg(F.sum(c)).scalar() for c in shares.values()}
+    return df.select(*df.columns, *[share(F.col(c), totals[c]).alias(p) for p, c in shares.items()])
 
 
 def row_shares(df: DataFrame, shares: Mapping[str, tuple[str, str]]) -> DataFrame:

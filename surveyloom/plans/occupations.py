@@ -164,6 +164,6 @@ def area_ranks(projections: DataFrame, limit: int = 40) -> DataFrame:
     return top_by_rank(detailed, ["area"], "total_openings", "openings_rank", limit)
 
 
-def area_rank_matrix(ranks: DataFrame, areas: list[str]) -> DataFrame:
-    """One row per occupation, one rank column per area."""
+def area_rank_matrix(ranks: DataFrame, areas: list[str] | None = None) -> DataFrame:
+    """One row per occupation, one rank column per area; areas are read from the ranks unless given."""
     return to_wide(ranks, ["OCC_CODE", "OCC_TITLEAZ"], "area", "openings_rank", areas)

@@ -174,10 +174,11 @@ class SurveyTables:
     key: str = "SOCP"
     title: str = "OCC_TITLE"
     top: int = TOP
+    count: int | None = None
 
     def __post_init__(self):
         slim = self.persons.drop(self.title) if self.title in self.persons.columns else self.persons
-        self.design = ReplicateDesign(slim, self.weight, self.replicates)
+        self.design = ReplicateDesign(slim, self.weight, self.replicates, count=self.count)
         self._income: DataFrame | None = None
         self._counts: ReplicateSums | None = None
         self._lists: DataFrame | None = None
@@ -367,6 +368,7 @@ class LinearTables:
     employed: str = "EMPSTAT = 1"
     title: str = "OCC_TITLE"
     top: int = TOP
+    count: int | None = None
 
     def __post_init__(self):
         slim = self.persons.drop(self.title) if self.title in self.persons.columns else self.persons

@@ -113,8 +113,10 @@ def adjusted(col: Column, v: Vintage, adjustment: Column, adjust: bool = True) -
     return scale(col, *factors, *([v.dollars] if v.dollars != 1.0 else []))
 
 
-def prepare_persons(data: DataFrame, titles: DataFrame, v: Vintage) -> DataFrame:
-    """Indicators, money in one dollar year, merged occupation code, title.
+def prepare_persons(data: DataFrame, v: Vintage, titles: DataFrame | None = None) -> DataFrame:
+    """Indicators, money in one dollar year, merged occupation code, and a title only if titles are given.
+
+    The result tables add titles after aggregation, so persons are not joined for them.
 
     Earnings (``PERNP``) are the adjusted wages (``WAGP``), not the adjusted
     total earnings.
@@ -129,7 +131,7 @@ def prepare_persons(data: DataFrame, titles: DataFrame, v: Vintage) -> DataFrame
             "PERNP": adjusted(F.col("WAGP"), v, F.col("ADJINC"), not v.wage_without_adjustment),
         }
     )
-    return add_title(persons, titles, "SOCP", v.code)
+    return persons if titles is None else add_title(persons, titles, "SOCP", v.code)
 
 
 def titles_2018(lookup: DataFrame) -> DataFrame:

@@ -103,9 +103,9 @@ def estimate(source: str, keys: Sequence[str], measures: Sequence[Measure], wher
     for m in measures:
         if m.kind == "median":
             i = medians.index(m)
-            cols += [f"round(m{i}.med, {digits}) AS {m.name}", f"round(m{i}.se, {digits}) AS {m.name}_se"]
+            cols += [f"round(m{i}.med + 1e-{digits + 2}, {digits}) AS {m.name}", f"round(m{i}.se + 1e-{digits + 2}, {digits}) AS {m.name}_se"]
         else:
-            cols += [f"round(e.{m.name}, {digits}) AS {m.name}", f"round(e.{m.name}_se, {digits}) AS {m.name}_se"]
+            cols += [f"round(e.{m.name} + 1e-{digits + 2}, {digits}) AS {m.name}", f"round(e.{m.name}_se + 1e-{digits + 2}, {digits}) AS {m.name}_se"]
     return f"({sql} SELECT {_list('e', keys)}{', '.join(cols)} FROM est e{joins})"
 
 
@@ -157,7 +157,7 @@ def linear(source: str, keys: Sequence[str], measures: Sequence[Measure], weight
         se = f"sqrt(greatest(n_rows / (n_rows - 1.0) * (sum(({z}) * ({z})) - sum({z}) * sum({z}) / n_rows), 0))"
         if m.kind == "mean":
             se = f"sqrt(n_rows / (n_rows - 1.0) * sum(({z}) * ({z})))"
-        err.append(f"round(max({m.name}), {digits}) AS {m.name}, round(CASE WHEN count(CASE WHEN {ok} THEN 1 END) > 0 THEN {se} END, {digits}) AS {m.name}_se")
+        err.append(f"round(max({m.name}) + 1e-{digits + 2}, {digits}) AS {m.name}, round(CASE WHEN count(CASE WHEN {ok} THEN 1 END) > 0 THEN {se} END + 1e-{digits + 2}, {digits}) AS {m.name}_se")
     known = "".join(f", sum(CASE WHEN {m.column} IS NOT NULL THEN {weight} END) AS {m.name}_k" for m in means)
     by = f"GROUP BY {', '.join(keys)}" if keys else ""
     by_d = f"GROUP BY {', '.join('d.' + c for c in keys)}, n_rows" if keys else "GROUP BY n_rows"

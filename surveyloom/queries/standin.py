@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.sources.readers import spread_small_input
-
 REPLICATES = "PWGTPR"
 BASE = "PWGTP"
 
@@ -63,8 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """Persons dealt out evenly, at every size, as the files of a survey are; the given table is one row group."""
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, parts = spread_small_input(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
+    lines, parts = _spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
 
@@ -93,7 +96,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weighted_lines(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
     """Order lines with survey weights, for single operators."""
-    return with_weights(spread_small_input(table(spark, sf_dir, "lineitem")), columns)
+    return with_weights(_spread(table(spark, sf_dir, "lineitem")), columns)
 
 
 def harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.operators import joins
 from surveyloom.operators.measures import mean, median, total
 from surveyloom.plans import codebooks, occupations, population, vintages
 from surveyloom.queries import sqlgen, standin
@@ -157,28 +158,29 @@ def occupations_report(spark, sf_dir):
 
 
 @query(
-    f"WITH {sqlgen.cte_persons()} SELECT code AS SOCP, OCC_TITLE, n, income, wage FROM (SELECT CASE WHEN SOCP10 IS NULL THEN NULL WHEN SOCP10 = 'N.A.//' "
-    "THEN SOCP12 ELSE SOCP10 END AS code, count(*) AS n, round(max(PINCP * ADJINC * 1.09257667), 4) AS income, "
-    f"round(max(WAGP * ADJINC * 1.09257667), 4) AS wage FROM base GROUP BY 1) LEFT JOIN ({standin.TITLES}) ON code = SOCCODE18"
+    f"WITH {sqlgen.cte_persons()} SELECT code AS SOCP, OCC_TITLE, n, income, wage, weighted FROM (SELECT CASE WHEN SOCP10 IS NULL THEN NULL WHEN SOCP10 = 'N.A.//' "
+    "THEN SOCP12 ELSE SOCP10 END AS code, count(*) AS n, round(max(PINCP * ADJINC * 1.09257667) + 1e-6, 4) AS income, "
+    "round(round(sum(6 * q * WAGP * ADJINC * 1.09257667), 0) + 1e-6, 4) AS weighted, "
+    f"round(max(WAGP * ADJINC * 1.09257667) + 1e-6, 4) AS wage FROM base GROUP BY 1) LEFT JOIN ({standin.TITLES}) ON code = SOCCODE18"
 )
 def persons_2015(spark, sf_dir):
     """The 2015 vintage: merged code, title by the merged code, 2020 dollars."""
     titles = standin.titles(spark, sf_dir).withColumnRenamed("SOCCODE18", "SOCCODE10")
     data = standin.persons(spark, sf_dir).drop("SOCP")
-    people = vintages.prepare_persons(data, titles, vintages.VINTAGE_2015)
-    return rounded(
-        people.groupBy("SOCP", "OCC_TITLE").agg(
-            F.count("*").alias("n"), F.max("PINCP").alias("income"), F.max("PERNP").alias("wage")
-        )
+    people = vintages.prepare_persons(data, vintages.VINTAGE_2015)
+    by_code = people.groupBy("SOCP").agg(
+        F.count("*").alias("n"), F.max("PINCP").alias("income"), F.max("PERNP").alias("wage"), F.round(F.sum(F.col(standin.BASE) * F.col("PERNP")), 0).alias("weighted")
     )
+    return rounded(joins.add_title(by_code, titles, "SOCP", "SOCCODE10"))
 
 
 def _tables(spark, sf_dir) -> population.SurveyTables:
     titles = standin.titles(spark, sf_dir)
     return population.SurveyTables(
-        persons=vintages.prepare_persons(standin.persons(spark, sf_dir), titles, VINTAGE),
+        persons=vintages.prepare_persons(standin.persons(spark, sf_dir), VINTAGE),
         weight=standin.BASE,
         replicates=standin.REPLICATES,
+        count=80,
         titles=titles,
         promising=standin.promising(spark, sf_dir),
     )
@@ -245,7 +247,7 @@ def _join_sql(first: str, sides: dict[str, tuple[str, list[str]]], first_columns
 
 
 def _shares_sql(sub: str, shares: dict[str, str], whole: str) -> str:
-    cols = ", ".join(f"round({c} / NULLIF({whole}, 0), 4) AS {p}" for p, c in shares.items())
+    cols = ", ".join(f"round({c} / NULLIF({whole}, 0) + 1e-6, 4) AS {p}" for p, c in shares.items())
     return f"(SELECT *, {cols} FROM {sub})"
 
 
@@ -296,7 +298,7 @@ _EDUCATION = _names(population.TOTALS_EDUCATION, "TOTCNT")
 
 @query(
     f"{_START} SELECT *, "
-    + ", ".join(f"round({c} / sum({c}) OVER (), 4) AS {p}" for p, c in population.SHARES_EDUCATION.items())
+    + ", ".join(f"round({c} / sum({c}) OVER () + 1e-6, 4) AS {p}" for p, c in population.SHARES_EDUCATION.items())
     + f" FROM {sqlgen.estimate('persons', ['EDATT_RC'], _EDUCATION, _FT)}"
 )
 def table_education(spark, sf_dir):
@@ -473,7 +475,7 @@ _LINEAR_EDUCATION = _names(population.TOTALS_EDUCATION, "TOTCNT", strict=True)
 
 @query(
     f"{_LINEAR} SELECT *, "
-    + ", ".join(f"round({c} / sum({c}) OVER (), 4) AS {p}" for p, c in population.SHARES_EDUCATION.items())
+    + ", ".join(f"round({c} / sum({c}) OVER () + 1e-6, 4) AS {p}" for p, c in population.SHARES_EDUCATION.items())
     + f" FROM {sqlgen.linear('persons', ['EDATT_RC'], _LINEAR_EDUCATION, 'PERWT', _FT)}"
 )
 def table_linear_education(spark, sf_dir):

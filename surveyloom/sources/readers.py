@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 from surveyloom.functions.cleaning import null_if_any, null_microdata_codes, TEXT_NULLS
 
 
-def read_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV file with a header, every column as text, optionally only some."""
-    df = spark.read.option("header", True).csv(path)
+def read_strings(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, every column as text, optionally only some.
+
+    A quote inside a quoted field is doubled. A field may hold line breaks only with
+    ``multi_line``, which reads each file in one task.
+    """
+    df = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
     return df if columns is None else df.select(*[F.col(f"`{c}`") for c in columns])
 
 
@@ -69,13 +73,3 @@ def cut_columns(df: DataFrame, line: str, layout: Mapping[str, tuple[int, int, T
         return (text if isinstance(dtype, T.StringType) else text.try_cast(dtype)).alias(name)
 
     return df.select(*[column(name, *spec) for name, spec in layout.items()])
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before work that multiplies rows.
-
-    Only a small input has so few splits; a large one is left as it is, without
-    a shuffle. Meant for a plain scan: counting its splits runs no job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,16 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 
+# Quotes are doubled. NULL is written as NA and empty text as two quotes, so the two differ when read again.
+QUOTED = {"quote": '"', "escape": '"', "nullValue": "NA"}
+TO_CSV = {**QUOTED, "emptyValue": '""'}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the table and return it as read back, so it is computed once."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, **TO_CSV)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     reader = df.sparkSession.read.schema(df.schema).format(fmt)
-    return (reader.option("header", True) if fmt == "csv" else reader).load(path).select(*df.columns)
+    return (reader.options(header=True, multiLine=True, **QUOTED) if fmt == "csv" else reader).load(path).select(*df.columns)
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -136,13 +136,13 @@ def test_vintage_2015(spark):
     missing = spark.createDataFrame([("47-2140", "added")], "SOCCODE10 string, OCC_TITLE string")
     codes = vintages.codes_2010(lookup, missing)
     titles = vintages.titles_2010(codes)
-    got = {r.id: r for r in vintages.prepare_persons(data, titles, vintages.VINTAGE_2015).collect()}
+    got = {r.id: r for r in vintages.prepare_persons(data, vintages.VINTAGE_2015, titles).collect()}
     assert [(got[i].SOCP, got[i].OCC_TITLE) for i in (1, 2, 3)] == [("472140", "added"), (None, None), ("111011", "first")]
     assert got[1].PERNP == 50.0 * 2.0 * vintages.DOLLARS_2015_TO_2020
     from dataclasses import replace
 
     literal = replace(vintages.VINTAGE_2015, wage_without_adjustment=True)
-    assert {r.id: r.PERNP for r in vintages.prepare_persons(data, titles, literal).collect()}[1] == 50.0 * vintages.DOLLARS_2015_TO_2020
+    assert {r.id: r.PERNP for r in vintages.prepare_persons(data, literal, titles).collect()}[1] == 50.0 * vintages.DOLLARS_2015_TO_2020
 
 
 def test_crosswalks(spark):
