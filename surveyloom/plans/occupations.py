@@ -54,7 +54,9 @@ EDUCATION_NAMES = {
     "Work experience in a related occupation": "EXP_REQ",
     "Typical on-the-job training needed to attain competency in the occupation": "TRN_REQ",
 }
-UNUSED = "state NAICS NAICS_TITLE I_GROUP OWN_CODE OCC_TITLEAZ PCT_TOTAL PCT_RPT O_GROUP".split()
+# Columns that the merge leaves out.
+UNUSED = ["state", "NAICS", "NAICS_TITLE", "I_GROUP", "OWN_CODE", "OCC_TITLEAZ", "PCT_TOTAL", "PCT_RPT", "O_GROUP"]
+# Column names of the report.
 REPORT_NAMES = {
     "OCC_TITLE": "Occupation",
     "H_MEDIAN": "Med_Wage",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 # Quotes are doubled. NULL is written as NA and empty text as two quotes, so the two differ when read again.
@@ -21,7 +22,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     reader = df.sparkSession.read.schema(df.schema).format(fmt)
-    return (reader.options(header=True, multiLine=True, **QUOTED) if fmt == "csv" else reader).load(path).select(*df.columns)
+    return (reader.options(header=True, multiLine=True, **QUOTED) if fmt == "csv" else reader).load(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
