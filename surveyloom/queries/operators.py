@@ -268,13 +268,13 @@ def sentinel_fallback(spark, sf_dir):
 
 
 @query(
-    "SELECT s_suppkey, s_nationkey, p_partkey FROM supplier LEFT JOIN "
-    "(SELECT p_partkey, p_size FROM part WHERE p_size < 20) ON s_nationkey = p_size"
+    "SELECT o_orderkey, o_custkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey"
 )
 def crosswalk_fanout(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    codes = table(spark, sf_dir, "part").where("p_size < 20").select("p_partkey", F.col("p_size").alias("s_nationkey"))
-    return joins.join_on(suppliers, codes, ["s_nationkey"], "left").select("s_suppkey", "s_nationkey", "p_partkey")
+    """A code with several rows fans out; an order has seven lines at most."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return joins.join_on(orders, lines, ["o_orderkey"], "left").select("o_orderkey", "o_custkey", "l_linenumber")
 
 
 @query(
@@ -600,13 +600,16 @@ def suffix_join(spark, sf_dir):
 
 
 @query(
-    f"SELECT a.o_custkey, a.n, b.n AS n_open, c.n AS n_part FROM {_LIST_SQL['1']} a LEFT JOIN {_LIST_SQL['2']} b "
-    f"ON a.o_custkey = b.o_custkey LEFT JOIN {_LIST_SQL['3']} c ON a.o_custkey = c.o_custkey"
+    "SELECT t1.o_custkey, t1.n, "
+    + ", ".join(f"t{i}.n AS n_{i}" for i in _LIST_SQL if i != "1")
+    + f" FROM {_LIST_SQL['1']} t1 "
+    + " ".join(f"LEFT JOIN {sql} t{i} ON t1.o_custkey = t{i}.o_custkey" for i, sql in _LIST_SQL.items() if i != "1")
 )
 def wide_top_lists(spark, sf_dir):
+    """The whole chain of lists, joined to the first."""
     lists = _order_lists(spark, sf_dir)
-    sides = {"": "1", "_open": "2", "_part": "3"}
-    return joins.fold_join([joins.suffix_columns(lists[i], x, ["o_custkey"]) for x, i in sides.items()], ["o_custkey"], "left")
+    sides = [joins.suffix_columns(df, "" if i == "1" else f"_{i}", ["o_custkey"]) for i, df in lists.items()]
+    return joins.fold_join(sides, ["o_custkey"], "left")
 
 
 _OPENINGS = (

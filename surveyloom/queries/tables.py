@@ -414,6 +414,54 @@ def table_promising_data(spark, sf_dir):
     )
 
 
+# -- the 2015 vintage ----------------------------------------------------------------
+
+# Code merged from two columns, 2020 dollars; promising persons are found by the census code.
+_BASE_2015 = (
+    "base15 AS (SELECT * REPLACE (CASE WHEN SOCP10 IS NULL THEN NULL WHEN SOCP10 = 'N.A.//' THEN SOCP12 ELSE SOCP10 END AS SOCP, "
+    "ADJINC * 1.09257667 AS ADJINC) FROM base)"
+)
+_CENSUS_2015 = "SELECT SOCCODE18 AS SOCCODE10, CASE WHEN SOCCODE18 LIKE '%LA' THEN SOCCODE18 ELSE 'X' || SOCCODE18 END AS SOCCODE10_CENSUS FROM codes"
+_START_2015 = (
+    f"WITH {sqlgen.cte_persons()}, {_BASE_2015}, {sqlgen.cte_flags('base15')}, titles AS ({standin.TITLES}), "
+    f"codes AS ({standin.PROMISING}), census AS ({_CENSUS_2015}), promised AS (SELECT * FROM persons WHERE SOCP IN (SELECT SOCCODE10_CENSUS FROM census))"
+)
+
+
+def _tables_2015(spark, sf_dir) -> population.SurveyTables:
+    census = F.when(F.col("SOCCODE18").endswith("LA"), F.col("SOCCODE18")).otherwise(F.concat(F.lit("X"), F.col("SOCCODE18")))
+    promising = standin.promising(spark, sf_dir).select(F.col("SOCCODE18").alias("SOCCODE10"), census.alias("SOCCODE10_CENSUS"))
+    return population.SurveyTables(
+        persons=vintages.prepare_persons(standin.persons(spark, sf_dir), vintages.VINTAGE_2015),
+        weight=standin.BASE,
+        replicates=standin.REPLICATES,
+        count=80,
+        titles=standin.titles(spark, sf_dir).withColumnRenamed("SOCCODE18", "SOCCODE10"),
+        promising=promising,
+        code="SOCCODE10",
+        promising_code="SOCCODE10_CENSUS",
+    )
+
+
+@query(
+    f"{_START_2015}, {_LISTS} "
+    + " UNION ALL ".join(f"SELECT '{label}' AS category, * FROM list{i}" for i, label in enumerate(_CONDITIONS))
+)
+def table_2015_top_lists(spark, sf_dir):
+    return rounded(_tables_2015(spark, sf_dir).top_lists())
+
+
+@query(f"{_START_2015} {_PROMISING_TABLE}")
+def table_2015_promising(spark, sf_dir):
+    return rounded(_tables_2015(spark, sf_dir).promising_table())
+
+
+@query(f"{_START_2015} SELECT DISTINCT SOCCODE10_CENSUS FROM census WHERE SOCCODE10_CENSUS NOT IN (SELECT SOCP FROM persons WHERE SOCP IS NOT NULL)")
+def missing_promising_2015(spark, sf_dir):
+    """Promising census codes without any person."""
+    return _tables_2015(spark, sf_dir).missing_promising()
+
+
 # -- linearised tables -------------------------------------------------------------
 
 
