@@ -20,22 +20,22 @@ from surveyloom.llm.numbering import running_total
 
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
-TWO_32 = 2**32
-TWO_64 = 2**64
 # Rows of one shard that a window of consecutive keys is meant to hold.
 ROWS_PER_CHUNK = 1 << 16
+LOW_32 = 0xFFFFFFFF
 
 
-def _big(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(20,0)")
+def _next_state(high: Column, low: Column) -> tuple[Column, Column]:
+    """Halves of ``(state * MULTIPLIER + 1) mod 2^64``, in whole numbers that stay below 2^63.
 
-
-def _next_state(state: Column) -> Column:
-    """``(state * MULTIPLIER + 1) mod 2^64``, in decimals so that nothing overflows."""
-    high, low = F.floor(state / _big(TWO_32)).cast("decimal(10,0)"), (state % _big(TWO_32)).cast("decimal(10,0)")
-    m = _big(MULTIPLIER).cast("decimal(19,0)")
-    shifted = ((high * m) % _big(TWO_32)).cast("decimal(10,0)") * _big(TWO_32)
-    return ((low * m + shifted + F.lit(1)) % _big(TWO_64)).cast("decimal(20,0)")
+    The multiplier is taken as one upper part and two parts of 16 bits.
+    """
+    upper, middle, lower = MULTIPLIER >> 32, MULTIPLIER >> 16 & 0xFFFF, MULTIPLIER & 0xFFFF
+    by_middle = low * middle
+    below = low * lower + F.shiftleft(by_middle.bitwiseAND(0xFFFF), 16) + 1
+    above = F.shiftright(below, 32) + F.shiftright(by_middle, 16) + low * upper
+    from_high = high * lower + F.shiftleft((high * middle).bitwiseAND(0xFFFF), 16)
+    return (above + from_high).bitwiseAND(LOW_32), below.bitwiseAND(LOW_32)
 
 
 def jumps(key: Column, n_shards: int) -> Column:
@@ -43,16 +43,21 @@ def jumps(key: Column, n_shards: int) -> Column:
 
     The state of a negative key is its two's complement, as in the published code.
     """
-    start = F.coalesce(key.cast("long"), F.lit(0)).cast("decimal(20,0)")
-    start = F.when(start < 0, start + _big(TWO_64)).otherwise(start).cast("decimal(20,0)")
-    zero = F.struct(start.alias("state"), F.lit(0).cast("long").alias("at"), F.array(F.lit(0).cast("long")).alias("stops"))
+    start = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
+    zero = F.struct(
+        F.shiftrightunsigned(start, 32).alias("high"),
+        start.bitwiseAND(LOW_32).alias("low"),
+        F.lit(0).cast("long").alias("at"),
+        F.array(F.lit(0).cast("long")).alias("stops"),
+    )
 
     def step(walk: Column, _: Column) -> Column:
-        state = _next_state(walk["state"])
-        draw = F.floor(state / _big(2**33)).cast("double") + 1.0
+        high, low = _next_state(walk["high"], walk["low"])
+        # The draw is the upper 31 bits of the state.
+        draw = (F.shiftright(high, 1) + 1).cast("double")
         at = F.floor((walk["at"] + 1).cast("double") * (F.lit(float(2**31)) / draw)).cast("long")
         stops = F.when(at < n_shards, F.concat(walk["stops"], F.array(at))).otherwise(walk["stops"])
-        moved = F.struct(state.alias("state"), at.alias("at"), stops.alias("stops"))
+        moved = F.struct(high.alias("high"), low.alias("low"), at.alias("at"), stops.alias("stops"))
         return F.when(walk["at"] < n_shards, moved).otherwise(walk)
 
     # Every jump rises by one at least, so n_shards steps always end the walk.
