@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Words and pairs that a worker remembers; beyond this it forgets all and starts anew.
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 300_000
 TEXTS_AT_ONCE = 1000
 TEXTS_HANDED_ON = 500
 

@@ -35,7 +35,9 @@ RESULTS = ["lang_pred", "score", "bits_per_byte"]
 UNKNOWN = "und"
 PAD = b"\n\n\n"
 # Positions that are scored at a time; bounds the memory of a task whatever the length of a text.
-POSITIONS = 1 << 19
+POSITIONS = 1 << 18
+# Texts of a batch that are lower-cased and joined at a time.
+TEXTS_AT_ONCE = 500
 
 
 @dataclass
@@ -181,12 +183,16 @@ def identify(spark: SparkSession, trees: ContextTrees | None, text: Column) -> C
         names = np.array(trees.languages, object)
         for texts in batches:
             lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
-            data = [_lowered(t) if ok else b"" for t, ok in zip(texts, lettered)]
-            bits = code_lengths(trees, data)
+            bits = np.zeros((len(texts), len(names)))
+            length = np.ones(len(texts))
+            for low in range(0, len(texts), TEXTS_AT_ONCE):
+                part = slice(low, low + TEXTS_AT_ONCE)
+                data = [_lowered(t) if ok else b"" for t, ok in zip(texts.iloc[part], lettered[part])]
+                bits[part] = code_lengths(trees, data)
+                length[part] = np.maximum([len(d) for d in data], 1)
             best = bits.argmin(1)
             shortest = bits.min(1)
             share = 1.0 / np.exp2(shortest[:, None] - bits).sum(1)
-            length = np.maximum([len(d) for d in data], 1)
             yield pd.DataFrame(
                 {
                     "lang_pred": np.where(lettered, names[best], UNKNOWN),
