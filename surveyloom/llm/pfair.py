@@ -8,11 +8,12 @@ the one with the earliest deadline is next. Since the weights sum to one, every
 runs inside its window, and so at every slot the number of blocks that a source has
 had differs by less than one from ``w`` times the number of slots.
 
-Weights are rounded to whole parts of a period (``resolution`` slots, at least ten for
-each source), so the schedule repeats: the driver works out one period from one number
-for each source, and block ``k`` of a source finds its slot by a lookup of
-``k mod parts``. The mixture ends when every document has been written once. A source whose
-target is above its share of the input starts over, up to that end; nothing is left out.
+Weights are rounded to whole parts of a period that grows with the slots to be filled:
+it has ``FINER`` times as many parts as there are slots, or more, so over the whole
+mixture rounding moves a source by about ``1 / FINER`` of a block. One task walks through the slots, with one number for each source, and writes the schedule as a table;
+blocks find their slots by a join. The mixture ends when every document has been written
+once. A source whose target is above its share of the input starts over, up to that end;
+nothing is left out.
 
 Rules for odd input: NULL is a source of its own; a document takes one byte at least,
 so NULL and empty texts are mixed too; a document longer than a block fills the
@@ -24,13 +25,21 @@ that have the name of a result.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+import itertools
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.numbering import running_total
+from surveyloom.sources.staging import stage
 
+FINER = 16
+SLOTS_AT_ONCE = 1 << 16
 RESULTS = ["size", "block", "pass_no", "slot", "release_slot", "deadline_slot"]
 
 
@@ -38,31 +47,67 @@ def whole_parts(weights: list[float], resolution: int) -> list[int]:
     """Weights as positive whole numbers that sum to ``resolution``, by largest remainders."""
     if any(w <= 0 for w in weights):
         raise ValueError("a target weight must be above zero")
-    free, total = resolution - len(weights), sum(weights)
-    exact = [free * w / total for w in weights]
-    parts = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[: resolution - sum(parts)]:
+    if len(weights) > resolution:
+        raise ValueError("there are more sources than parts")
+    total = sum(map(Fraction, weights))
+    exact = [resolution * Fraction(w) / total for w in weights]
+    parts = [max(1, int(x)) for x in exact]
+    order = sorted(range(len(weights)), key=lambda i: (parts[i] - exact[i], i))
+    left = resolution - sum(parts)
+    for i in order[: max(left, 0)]:
         parts[i] += 1
+    # What the smallest sources have above their weight is taken where it shows least.
+    while left < 0:
+        i = max((i for i in range(len(parts)) if parts[i] > 1), key=lambda i: (parts[i], -i))
+        parts[i] -= 1
+        left += 1
     return parts
 
 
-def one_period(parts: list[int]) -> list[tuple[int, int]]:
-    """Earliest deadline first: the source and its block number in each slot of a period."""
+def walked(parts: list[int]) -> Iterator[tuple[int, int]]:
+    """Earliest deadline first, without end: the source and its block number in each slot."""
     period = sum(parts)
     waiting = [(0, i, 0) for i in range(len(parts))]
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * period // parts[i]), i, k))
         deadline, i, k = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("weights that sum to one leave no block late")
-        out.append((i, k))
-        if k + 1 < parts[i]:
-            heapq.heappush(waiting, ((k + 1) * period // parts[i], i, k + 1))
-    return out
+        yield i, k
+        heapq.heappush(waiting, ((k + 1) * period // parts[i], i, k + 1))
+
+
+def one_period(parts: list[int]) -> list[tuple[int, int]]:
+    """The source and its block number in each slot of a period."""
+    return list(itertools.islice(walked(parts), sum(parts)))
+
+
+def slots_until_done(blocks: list[int], parts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """Source, block, pass, slot and number of the block, until every source has had all its blocks once."""
+    open_sources = len(blocks)
+    for slot, (i, k) in enumerate(walked(parts)):
+        yield i, k % blocks[i], k // blocks[i], slot, k
+        open_sources -= k + 1 == blocks[i]
+        if not open_sources:
+            return
+
+
+def schedule_table(spark: SparkSession, blocks: list[int], parts: list[int]) -> DataFrame:
+    """``_owner, _turn, _pass, _slot, _release, _deadline``: a row for each slot."""
+    period = sum(parts)
+    names = ["_owner", "_turn", "_pass", "_slot", "_release", "_deadline"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = slots_until_done(blocks, parts) if batch.num_rows else iter(())
+            while some := list(itertools.islice(slots, SLOTS_AT_ONCE)):
+                rows = [(i, b, p, s, k * period // parts[i], -(-(k + 1) * period // parts[i])) for i, b, p, s, k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(rows, np.int64).T], names=names)
+
+    return stage(spark.range(1, numPartitions=1).mapInArrow(walk, ", ".join(f"{n} long" for n in names)), "slots")
 
 
 def tempered(sizes: list[int], power: float) -> list[float]:
@@ -98,35 +143,28 @@ def mix_sources(
         return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], *[F.lit(0).cast("long").alias(c) for c in RESULTS])
     blocks = [-(-r["n"] // block_size) for r in totals]
     weights = tempered(blocks, power) if targets is None else [targets[r["_source"]] for r in totals]
-    period = max(resolution, 10 * len(totals))
+    if any(w <= 0 for w in weights):
+        raise ValueError("a target weight must be above zero")
+    # Slots that the slowest source needs for its blocks; the period is a multiple of the resolution.
+    slots = math.ceil(max(n / w for n, w in zip(blocks, weights)) * sum(weights)) + 1
+    period = resolution * -(-FINER * max(slots, len(totals)) // resolution)
     parts = whole_parts(weights, period)
-    slots = one_period(parts)
-    slot_of = {pair: slot for slot, pair in enumerate(slots)}
-    end = max((n - 1) // p * period + slot_of[i, (n - 1) % p] + 1 for i, (n, p) in enumerate(zip(blocks, parts)))
 
-    # One row for each source, and one for each slot of the period.
     source_kind = docs.select("source").schema["source"].dataType.simpleString()
-    sources = spark.createDataFrame(
-        [(r["_source"], i, n, p, -(-end * p // (period * n)) + 1) for i, (r, n, p) in enumerate(zip(totals, blocks, parts))],
-        f"_name {source_kind}, _number long, _blocks long, _parts long, _passes long",
-    )
-    schedule = spark.createDataFrame([(i, k, s) for s, (i, k) in enumerate(slots)], "_owner long, _turn long, _at long")
+    sources = spark.createDataFrame([(r["_source"], i) for i, r in enumerate(totals)], f"_name {source_kind}, _number long")
+    schedule = schedule_table(spark, blocks, parts)
 
     laid = running_total(rows, "_source", "_chunk", [F.col("_place"), F.col("_id"), F.col("_size")], F.col("_size"), "_offset")
     known = laid.join(F.broadcast(sources), laid["_source"].eqNullSafe(sources["_name"]))
-    block = F.floor(F.col("_offset") / block_size)
-    repeated = known.withColumn("_block", block).withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)))
-    k = F.col("_pass") * F.col("_blocks") + F.col("_block")
-    turned = repeated.withColumn("_k", k).withColumn("_turn_of", F.col("_k") % F.col("_parts"))
-    found = turned.join(F.broadcast(schedule), (turned["_number"] == schedule["_owner"]) & (turned["_turn_of"] == schedule["_turn"]))
-    slot = F.floor(F.col("_k") / F.col("_parts")) * period + F.col("_at")
+    turned = known.withColumn("_block", F.floor(F.col("_offset") / block_size))
+    found = turned.join(schedule, (turned["_number"] == schedule["_owner"]) & (turned["_block"] == schedule["_turn"]))
     results = {
         "size": F.col("_size"),
         "block": F.col("_block"),
         "pass_no": F.col("_pass"),
         "slot": F.col("_slot"),
-        "release_slot": F.floor(F.col("_k") * period / F.col("_parts")),
-        "deadline_slot": F.ceil((F.col("_k") + 1) * period / F.col("_parts")),
+        "release_slot": F.col("_release"),
+        "deadline_slot": F.col("_deadline"),
     }
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in results]
-    return found.withColumn("_slot", slot).where(F.col("_slot") < end).select(*kept, *[c.alias(n) for n, c in results.items()])
+    return found.select(*kept, *[c.alias(n) for n, c in results.items()])
