@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.jump_shards import shard_documents
 from surveyloom.llm import sql
+from surveyloom.llm.importance import resample
 from surveyloom.llm.line_templates import drop_recurring_lines
 from surveyloom.llm.multi_index import near_duplicate_vectors
+from surveyloom.llm.neighbour_votes import in_fold_zero, vote_quality
 from surveyloom.llm.ordinal import grade_toxicity
 from surveyloom.llm.pfair import mix_sources
+from surveyloom.llm.phrases import collocations
 from surveyloom.llm.piece_trie import encode_documents
 from surveyloom.llm.ppm import in_fold_one, predict_languages
 from surveyloom.llm.repair import read_shards, write_shards
@@ -75,6 +78,21 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_overlapped_scan_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), sizes=range(1, 2))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold_zero(F.col("doc_id"))
+    found = vote_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out, cutoff=0.3)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_multi_index_vectors": op1_multi_index_vectors,
     "op2_repair_token_files": op2_repair_token_files,
@@ -86,10 +104,15 @@ QUERIES: dict[str, Query] = {
     "op8_jump_hash_shards": op8_jump_hash_shards,
     "op9_ppm_language_id": op9_ppm_language_id,
     "op10_line_templates": op10_line_templates,
+    "op11_overlapped_scan_resampling": op11_overlapped_scan_resampling,
+    "op12_neighbour_votes": op12_neighbour_votes,
+    "op13_phrase_streams": op13_phrase_streams,
 }
 
 # The others write files, hash, train or count bits in ways that SQL cannot follow; see tests/llm.
 SQL: dict[str, str] = {
     "op1_multi_index_vectors": sql.OP1,
     "op7_risk_controlled_rules": sql.OP7,
+    "op11_overlapped_scan_resampling": sql.OP11,
+    "op13_phrase_streams": sql.OP13,
 }
