@@ -1,7 +1,8 @@
 """Quality by the votes of the nearest labelled documents in a latent semantic space.
 
 A text is a bag of tokens: runs of letters and digits, lower-cased, and runs of other
-signs; a run of two or more capital letters adds the token ``^``. Tokens weigh ``log(1 + count) * idf``.
+signs; two capital letters in a row add the token ``^``, and tokens equal to the one before add a token for their
+number and one for their share in eighths. Tokens weigh ``log(1 + count) * idf``.
 The leading singular vectors of the labelled sample map a bag to ``axes`` numbers, scaled
 to length 1; tokens that the sample lacks add nothing. The vectors of the sample and their labels are
 broadcast, and every document's cosine with each of them is computed, a block of documents at a time: no
@@ -25,6 +26,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -58,10 +61,15 @@ class NeighbourModel:
 def bag_of(text: bytes | None) -> Counter[bytes]:
     if not text:
         return Counter()
-    bag = Counter(t if len(t) <= LONGEST_TOKEN else xxhash.xxh64_digest(t) for t in TOKEN.findall(text.lower()))
+    tokens = TOKEN.findall(text.lower())
+    bag = Counter(t if len(t) <= LONGEST_TOKEN else xxhash.xxh64_digest(t) for t in tokens)
     capitals = len(CAPITALS.findall(text))
     if capitals:
         bag[b"^"] += capitals
+    repeats = sum(map(eq, tokens, islice(tokens, 1, None)))
+    if repeats:
+        bag[b" ="] = repeats
+        bag[b" =%d" % (8 * repeats // len(tokens))] = repeats
     return bag
 
 
