@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.line_templates import drop_recurring_lines
-from surveyloom.llm.near_texts import near_duplicate_texts
 from surveyloom.llm.pfair import mix_sources
 from surveyloom.llm.piece_trie import encode_documents
 from surveyloom.llm.ppm import in_fold_one, predict_languages
+from surveyloom.llm.simhash import near_duplicates
 from surveyloom.sources.staging import new_folder
 
 # Languages whose share of the posterior is below this are not recognised.
@@ -33,15 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Near-duplicates share 0.8 or more of their runs of five words; op4's four words and four
-    bits are for its query only.
-
     Rows that repeat a kept id and its text stay as one; other texts under a kept id, and
     documents without an id, stay.
     """
-    kept = near_duplicate_texts(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    once = rows.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    rows = whole.join(kept, F.col("_row.doc_id") == F.col("_kept"), "left_semi")
+    keyed = rows.select("_row", F.col("_row.doc_id").alias("_id"), F.xxhash64("_row.text").alias("_hash"))
+    once = keyed.dropDuplicates(["_id", "_hash"]).select("_row.*")
     return once.unionByName(docs.where("doc_id is null"))
 
 
