@@ -73,7 +73,8 @@ def sample_of(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS) -> pa
             yield pa.RecordBatch.from_arrays([batch["grade"], batch["weight"], tokens], names=["grade", "weight", "tokens"])
 
     # At most SAMPLE_ROWS rows of three numbers.
-    labelled = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("grade", "weight", "text")
+    texts = docs.select("doc_id", "text")
+    labelled = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("grade", "weight", "text")
     return labelled.mapInArrow(cut, "grade int, weight double, tokens array<string>").toArrow()
 
 

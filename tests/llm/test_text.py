@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -165,31 +166,31 @@ def tokens(line):
     return [("<*>" if re.search("[0-9]", t) else t) for t in re.findall(r"[^ \t\n\x0b\f\r]+", line)]
 
 
-def brute_lines(docs, depth=3, similarity=0.75, least=3):
-    leaves, lines = defaultdict(set), []
+def brute_lines(docs, depth=3, similarity=0.75):
+    """Lines that share a template, by definition: all choices of equal fields of the lines of a leaf."""
+    groups = defaultdict(set)
     for doc_id, text in docs:
         for place, line in enumerate((text or "").split("\n")):
-            t = tokens(line)
-            if len(t) >= least:
-                leaf = (len(t), *t[:depth])
-                fields = tuple(tuple(t[i * len(t) // 8 : (i + 1) * len(t) // 8]) for i in range(8))
-                leaves[leaf].add(fields)
-                lines.append((doc_id, text, place, leaf, tuple(t)))
-    general = set()
-    for leaf, seen in leaves.items():
-        same = sum(len({f[i] for f in seen}) == 1 for i in range(8))
-        if leaf[0] >= 8 and similarity * 8 <= same < 8:
-            general.add(leaf)
-    names = defaultdict(list)
-    for doc_id, text, place, leaf, t in lines:
-        names[leaf if leaf in general else t].append((doc_id is not None, doc_id or 0, xxhash64(text), place))
+            here = (doc_id is not None, doc_id or 0, xxhash64(text), place)
+            t, raw = tokens(line), tuple(re.findall(r"[^ \t\n\x0b\f\r]+", line))
+            constant = [x for x in t if x != "<*>"]
+            if 2 * len(constant) < len(t) or len("".join(constant)) < 8:
+                if len(raw) >= 3 or len("".join(raw)) >= 8:
+                    groups["as it stands", raw].add(here)
+                continue
+            groups["whole", tuple(t)].add(here)
+            if len(t) < 5:
+                continue
+            n = min(len(t), 8)
+            fields = [tuple(t[i * len(t) // 8 : (i + 1) * len(t) // 8]) for i in range(8)] if n == 8 else t
+            leaf = (len(t), *t[: depth if n == 8 else 2])
+            for some in combinations(range(n), -int(-similarity * n // 1)):
+                groups[leaf, some, tuple(fields[i] for i in some)].add(here)
     dropped = defaultdict(set)
-    for seen in names.values():
+    for seen in groups.values():
         if len({s[:3] for s in seen}) > 1:
-            first = min(seen)
-            for s in seen:
-                if s != first:
-                    dropped[s[:3]].add(s[3])
+            for s in seen - {min(seen)}:
+                dropped[s[:3]].add(s[3])
     return dropped
 
 
@@ -228,6 +229,39 @@ def test_variable_fields_and_first_documents(spark):
     assert got == {1: docs[0][1], 2: "kept words here", 3: docs[2][1], 4: "", 5: "a b\nx y", 6: "a b\nx y", 7: docs[6][1]}
 
 
+@pytest.mark.parametrize(
+    "texts, left",
+    [
+        # Numbers alone are no template; equal rows of numbers are.
+        (["1.5 2.5 3.5", "7.1 8.2 9.3", "2020-01-01 5% 17", "7.1 8.2 9.3"], ["1.5 2.5 3.5", "7.1 8.2 9.3", "2020-01-01 5% 17", ""]),
+        (["Total 5 6 7", "Total 8 9 10"], ["Total 5 6 7", "Total 8 9 10"]),
+        # One foreign line of the same leaf changes nothing.
+        (
+            [f"Posted on the board by user {x}? in category news today" for x in ("ann", "bob", "cy", "dee", "eve", "flo")]
+            + ["Posted on the wall of an old house near the market"],
+            ["Posted on the board by user ann? in category news today"] + [""] * 5 + ["Posted on the wall of an old house near the market"],
+        ),
+        # Short footers, whole lines of one token, short lines with one variable token.
+        (["Read more", "Read more", "Yes.", "Yes."], ["Read more", "", "Yes.", "Yes."]),
+        (["人人生而自由在尊严和权利上一律平等", "人人生而自由在尊严和权利上一律平等"], ["人人生而自由在尊严和权利上一律平等", ""]),
+        (["Posted by alice in news", "Posted by bob in news", "Posted at noon in winter"], ["Posted by alice in news", "", "Posted at noon in winter"]),
+    ],
+)
+def test_templates_of_lines(spark, texts, left):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in drop_recurring_lines(df).collect()}
+    assert [got[i] for i in range(len(texts))] == left
+    check_lines(df, drop_recurring_lines(df).collect())
+
+
+def test_a_template_with_most_lines_is_split(spark):
+    """One leaf with all lines and one template with most of them."""
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("the same words in all of these lines but "), F.chr(97 + F.col("id") % 26), F.lit("b")))
+                                  .otherwise(F.concat_ws(" ", F.lit("the same words"), *[F.concat(F.chr(97 + F.shiftright("id", k) % 26), F.lit("x")) for k in range(7)])).alias("text"))
+    df = df.withColumnRenamed("id", "doc_id")
+    check_lines(df, drop_recurring_lines(df).collect())
+
+
 def test_lines_of_odd_documents(spark, odd_docs, no_docs):
     check_lines(odd_docs, drop_recurring_lines(odd_docs).collect())
     assert drop_recurring_lines(no_docs).collect() == []
@@ -262,6 +296,27 @@ def test_ordinal_fit_recovers_ordered_grades():
     assert all(abs(w) < 1 for t, w in model.weights.items() if t.startswith("noise"))
 
 
+def test_severity_follows_the_formula(spark, small_docs):
+    """Thresholds and token weights give P(grade > k) = 1 - sigmoid(threshold_k - sum of weights)."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = ordinal.fit(ordinal.sample_of(small_docs, ordinal.graded(labels)))
+    got = {r.doc_id: r for r in ordinal.grade_toxicity(small_docs, labels).collect()}
+    for row in small_docs.collect():
+        score = sum(model.weights.get(t, 0.0) for t in set(re.findall(r"[^\W_]+", (row.text or "").lower())))
+        above = [1 - 1 / (1 + np.exp(-(t - score))) for t in model.thresholds]
+        grades = [1 - above[0], above[0] - above[1], above[1]]
+        assert got[row.doc_id].expected_severity == pytest.approx(sum(above), abs=1e-9)
+        assert got[row.doc_id].p_toxic == pytest.approx(above[0], abs=1e-9)
+        assert grades[got[row.doc_id].grade] == pytest.approx(max(grades), abs=1e-9)
+
+
+def test_toxicity_reads_no_other_columns(spark, odd_docs):
+    labels = spark.createDataFrame([(5, 1, 1), (8, 1, 0), (10, 1, 0)], "doc_id long, quality int, toxic int")
+    clashing = odd_docs.selectExpr("*", "1 as grade", "2D as weight", "'x' as label_id", "0 as toxic")
+    key = lambda rows: Counter((r.doc_id, r.expected_severity) for r in rows)
+    assert key(ordinal.grade_toxicity(clashing, labels).collect()) == key(ordinal.grade_toxicity(odd_docs, labels).collect())
+
+
 def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(5, 1, 1), (5, 0, 1), (8, 1, 0), (None, 1, 1), (6, 1, None), (9, None, 0), (10, 1, 0)], "doc_id long, quality int, toxic int")
     assert len(ordinal.grade_toxicity(odd_docs, labels).collect()) == len(ODD_TEXTS) + 4
