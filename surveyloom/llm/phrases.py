@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -72,10 +73,10 @@ def _hash_all(values: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, values), np.uint64, len(values))
 
 
-def count_runs(texts: list[tuple[bytes, bytes]], n: int, bitmap: np.ndarray | None) -> Iterator[tuple[bytes, bytes | None, int]]:
-    """``lang, phrase, count`` of the runs of ``n`` words in ``(lang, text)`` pairs.
+def count_runs(texts: list[tuple[bytes, bytes]], n: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """``lang, phrase, f``: counts of the runs of ``n`` words in ``(lang, text)`` pairs.
 
-    For single words, the number of all words of a language follows under the phrase None.
+    For single words, the number of all words of a language comes under a NULL phrase.
     """
     tokens: list[bytes] = []
     sizes = []
@@ -88,58 +89,55 @@ def count_runs(texts: list[tuple[bytes, bytes]], n: int, bitmap: np.ndarray | No
         sizes.append(len(here) + 1)
         lang_of.append(names.setdefault(lang, len(names)))
     encoded = pa.array(tokens, pa.binary()).dictionary_encode()
-    vocabulary = encoded.dictionary.to_pylist()
-    word = encoded.indices.to_numpy().astype(np.int64)
-    del tokens, encoded
-    lang = np.repeat(np.array(lang_of, np.int64), sizes)
-    langs = list(names)
-    usable = np.array([w != MARK for w in vocabulary], bool)[word]
+    del tokens
+    vocabulary = encoded.dictionary
+    word = encoded.indices.to_numpy()
+    lang = np.repeat(np.array(lang_of, np.int32), sizes)
+    langs = pa.array(names, pa.binary())
+    usable = (pc.not_equal(vocabulary, MARK).to_numpy(zero_copy_only=False))[word]
     if n == 1:
-        for number, total in enumerate(np.bincount(lang[usable], minlength=len(langs)).tolist()):
-            yield langs[number], None, total
-    starts = len(word) - n + 1
-    ok = np.ones(max(starts, 0), bool)
+        totals = np.bincount(lang[usable], minlength=len(langs))
+        yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.binary()), pa.array(totals, pa.int64())], names=["lang", "phrase", "f"])
+    starts = max(len(word) - n + 1, 0)
+    ok = np.ones(starts, bool)
     for place in range(n):
         ok &= usable[place : place + starts]
+    at = np.flatnonzero(ok)
     if bitmap is not None:
-        word_hash, lang_hash = _hash_all(vocabulary)[word], _hash_all(langs)[lang]
+        word_hash, lang_hash = _hash_all(vocabulary.to_pylist()), _hash_all(langs.to_pylist())
         for first in (0, 1):
-            at = np.flatnonzero(ok) + first
-            ok[at - first] = may_be_frequent(bitmap, run_hashes([word_hash[at + p] for p in range(n - 1)], lang_hash[at]))
-        del word_hash, lang_hash
-    at = np.flatnonzero(ok)
+            hashes = run_hashes([word_hash[word[at + first + place]] for place in range(n - 1)], lang_hash[lang[at]])
+            at = at[may_be_frequent(bitmap, hashes)]
     # Sorted into counts, one more word at a time, so that a key stays below 64 bits.
-    key = lang[at]
+    key = lang[at].astype(np.int64)
     for place in range(n):
         if place:
             key = np.unique(key, return_inverse=True)[1]
         key = key * len(vocabulary) + word[at + place]
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    columns = [word[at[first] + place].tolist() for place in range(n)]
-    for number, count, *run in zip(lang[at[first]].tolist(), counts.tolist(), *columns):
-        yield langs[number], b" ".join([vocabulary[w] for w in run]), count
+    at = at[first]
+    for low in range(0, len(at), ROWS_AT_ONCE):
+        some = at[low : low + ROWS_AT_ONCE]
+        words = [vocabulary.take(pa.array(word[some + place])) for place in range(n)]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())) if n > 1 else words[0]
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[some])), phrase, pa.array(counts[low : low + ROWS_AT_ONCE])], names=["lang", "phrase", "f"])
 
 
 def counted_runs(docs: DataFrame, n: int, bitmap: Broadcast | None) -> DataFrame:
     """``lang, phrase, f`` with the counts of each task's blocks of text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(texts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            found = list(count_runs(texts, n, bitmap.value if bitmap else None))
-            for low in range(0, len(found), ROWS_AT_ONCE):
-                lang, phrase, f = zip(*found[low : low + ROWS_AT_ONCE])
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.binary()), pa.array(phrase, pa.binary()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
-
+        runs = bitmap.value if bitmap else None
         held, size = [], 0
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
                 held.append((lang, text.as_py()))
                 size += len(held[-1][1])
                 if size >= TEXT_AT_ONCE:
-                    yield from rows(held)
+                    yield from count_runs(held, n, runs)
                     held, size = [], 0
         if held:
-            yield from rows(held)
+            yield from count_runs(held, n, runs)
 
     slim = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"),
