@@ -1,18 +1,22 @@
 """Survey designs: estimates with standard errors over many sub-populations.
 
 A design holds a DataFrame of person rows. ``sums`` reads it once for any
-number of blocks and groups: each weight of a person becomes a row, and one
-aggregation by ``(keys, replicate)`` combines on the map side before the only
-exchange. Everything after it works on one row per key and replicate.
+number of blocks and groups. Persons with the same keys and the same pattern
+(blocks they are in, whole-number inputs, inputs that are missing or below a
+median) differ in their weights only, so they first collapse to one row with a
+sum for each weight; this combines on the map side. Only the patterns are spread
+over replicates and blocks. Everything after that works on one row per key and replicate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveyloom.functions.money import share
 from surveyloom.operators import quantile
@@ -45,16 +49,6 @@ def _any_block(blocks: Mapping[str, Block]) -> Column | None:
     return None if any(c is None for c in conds) else reduce(Column.__or__, conds)
 
 
-def _inside(block: Block, value: Column) -> Column:
-    """``value`` for rows of the block, 0 outside it or when NULL.
-
-    Never NULL: the generated code of a wide sum is several times faster then.
-    """
-    if block.where is not None:
-        value = F.when(block.where, value)
-    return F.coalesce(value, F.lit(0.0))
-
-
 def _median_column(label: str, var: str) -> str:
     return f"_m__{label}__{var}"
 
@@ -176,6 +170,19 @@ class ReplicateSums:
         raise ValueError("a median belongs to the grouping it was computed for; use estimate()")
 
 
+@dataclass(frozen=True)
+class Patterns:
+    """Persons collapsed by keys and pattern: columns of the pattern, the bit of each condition, inputs that have sums of their own."""
+
+    df: DataFrame
+    names: list[str]
+    bits: Mapping[tuple[str, ...], int]
+    others: list[str]
+
+    def holds(self, *condition: str) -> Column:
+        return quantile.has_bit(self.bits[condition])
+
+
 class ReplicateDesign:
     """Person rows with a base weight and replicate weights.
 
@@ -213,46 +220,85 @@ class ReplicateDesign:
             return F.concat(F.array(base), F.when(F.size(weights) == self.count, weights).otherwise(wrong))
         return F.array(base, *[F.col(c).cast("double") for c in self.replicates])
 
+    def _is_whole(self, column: str) -> bool:
+        return isinstance(self.df.schema[column].dataType, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType))
+
+    def _patterns(self, keys: list[str], blocks: Mapping[str, Block], medians: DataFrame | None) -> Patterns:
+        """Persons collapsed by keys and pattern, with the sum of each weight, and of each weight times each other input."""
+        terms = dict.fromkeys(term for b in blocks.values() for term in _terms(b))
+        conds: dict[tuple[str, ...], Column | None] = {("block", x): b.where for x, b in blocks.items()}
+        conds |= {("known", v): quantile.number(v).isNotNull() for kind, v in terms if kind in ("wk", "null")}
+        for label, block in blocks.items():
+            for v in block.columns_of("median"):
+                below = quantile.number(v) <= F.col(_median_column(label, v))
+                conds["le", label, v] = below if block.where is None else block.where & below
+        inputs = list(dict.fromkeys(v for kind, v in terms if kind == "wx"))
+        whole = [v for v in inputs if self._is_whole(v)]
+        others = [v for v in inputs if v not in whole]
+        base = _any_block(blocks)
+        persons = self.df if base is None else self.df.where(base)
+        if medians is not None:
+            persons = join_on(persons, medians, keys, "left")
+        # One array holds the pattern: generated code counts columns.
+        pattern = [*quantile.membership_masks(list(conds.values())), *[F.col(v).cast("long") for v in whole]]
+        factors = [F.struct(F.lit(i).alias("_v"), x.alias("_x")) for i, x in enumerate([F.lit(1.0), *[quantile.number(v) for v in others]])]
+        slim = persons.select(*keys, F.array(*pattern).alias("_p"), self._all_weights().alias("_ws"), F.array(*factors).alias("_vs"))
+        weight = [F.col("_ws")[r] for r in range(self.count + 1)]
+        if others:
+            rows = slim.select(*keys, "_p", "_ws", F.inline("_vs")).where(F.col("_x").isNotNull())
+            weight = [w * F.col("_x") for w in weight]
+        else:
+            rows = slim.withColumn("_v", F.lit(0))
+        sums = [F.sum(w).alias(f"_s{r}") for r, w in enumerate(weight)]
+        collapsed = rows.groupBy(*keys, "_p", "_v").agg(F.count("*").alias("_n"), *sums)
+        masks = quantile.mask_names(len(conds))
+        names = [*masks, *[f"_f_{v}" for v in whole]]
+        flat = collapsed.select(
+            *keys, "_v", "_n", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], F.array(*[f"_s{r}" for r in range(self.count + 1)]).alias("_ws")
+        )
+        return Patterns(flat, names, {c: i for i, c in enumerate(conds)}, others)
+
     def sums(self, by: Sequence[str], blocks: Mapping[str, Block], medians: DataFrame | None = None) -> ReplicateSums:
         """One pass over the persons for all blocks."""
         keys, blocks = list(by), dict(blocks)
+        return self._spread(keys, blocks, self._patterns(keys, blocks, medians))
+
+    def _spread(self, keys: list[str], blocks: dict[str, Block], patterns: Patterns) -> ReplicateSums:
+        """Sums of every block per key and replicate, from the patterns."""
         width = [len(_terms(b)) + 1 for b in blocks.values()]
         if sum(width) + len(keys) + 3 > MAX_COLUMNS_PER_PASS and len(blocks) > 1:
-            return self._sums_in_passes(keys, blocks, medians)
+            return self._spread_in_passes(keys, blocks, patterns)
+        long = patterns.df.select(*keys, "_v", "_n", *patterns.names, F.posexplode("_ws").alias(REPLICATE, "_w"))
+        weights_alone = F.col("_v") == 0
         sums: dict[str, Column] = {}
         for label, block in blocks.items():
-            sums[_rows_name(label)] = F.lit(1) if block.where is None else F.coalesce(block.where, F.lit(False)).cast("int")
+            here = patterns.holds("block", label)
+            inside = here & weights_alone
+            sums[_rows_name(label)] = F.when(inside, F.col("_n")).otherwise(F.lit(0))
             for kind, var in _terms(block):
-                x = quantile.number(var) if var else None
                 if kind == "w":
-                    value = F.lit(1.0)
+                    value = F.when(inside, F.col("_w"))
+                elif kind == "wx" and var in patterns.others:
+                    value = F.when(here & (F.col("_v") == patterns.others.index(var) + 1), F.col("_w"))
                 elif kind == "wx":
-                    value = x
+                    value = F.when(inside, F.col("_w") * F.col(f"_f_{var}"))
                 elif kind == "wk":
-                    value = x.isNotNull().cast("double")
+                    value = F.when(inside & patterns.holds("known", var), F.col("_w"))
                 elif kind == "null":
-                    value = x.isNull().cast("double")
+                    value = F.when(inside & ~patterns.holds("known", var), F.col("_n").cast("double"))
                 else:
-                    value = (x <= F.col(_median_column(label, var))).cast("double")
-                sums[_term_name(label, (kind, var))] = _inside(block, value)
-        base = _any_block(blocks)
-        persons = self.df if base is None else self.df.where(base)
-        if medians is not None:
-            persons = join_on(persons, medians, keys, "left")
-        # The inputs are fixed below the explode, once per person and not once per weight.
-        inputs = persons.select(*keys, *[c.alias(n) for n, c in sums.items()], self._all_weights().alias("_ws"))
-        long = inputs.select(*keys, *sums, F.posexplode("_ws").alias(REPLICATE, "_w"))
-        unweighted = {n for n in sums if "__null__" in n} | {_rows_name(x) for x in blocks}
-        df = long.groupBy(*keys, REPLICATE).agg(
-            *[F.sum(F.col(n) if n in unweighted else F.col("_w") * F.col(n)).alias(n) for n in sums],
-        )
+                    value = F.when(weights_alone & patterns.holds("le", label, var), F.col("_w"))
+                # Never NULL: the generated code of a wide sum is several times faster then.
+                sums[_term_name(label, (kind, var))] = F.coalesce(value, F.lit(0.0))
+        inputs = long.select(*keys, REPLICATE, *[c.alias(n) for n, c in sums.items()])
+        df = inputs.groupBy(*keys, REPLICATE).agg(*[F.sum(n).alias(n) for n in sums])
         return ReplicateSums(df, keys, blocks, self.scale)
 
-    def _sums_in_passes(self, keys: list[str], blocks: dict[str, Block], medians: DataFrame | None) -> ReplicateSums:
-        """Halve the blocks until each pass fits; only the small results are joined."""
+    def _spread_in_passes(self, keys: list[str], blocks: dict[str, Block], patterns: Patterns) -> ReplicateSums:
+        """Halve the blocks until each pass fits; the persons are collapsed once, and only small results are joined."""
         labels = list(blocks)
         half = len(labels) // 2
-        low, high = (self.sums(keys, {x: blocks[x] for x in part}, medians).df for part in (labels[:half], labels[half:]))
+        low, high = (self._spread(keys, {x: blocks[x] for x in part}, patterns).df for part in (labels[:half], labels[half:]))
         on = [*keys, REPLICATE]
         both = join_on(low, high, on, "full_outer")
         df = both.select(*on, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in both.columns if c not in on])
@@ -288,7 +334,7 @@ class ReplicateDesign:
         return hist, buckets, quantile.locate(hist, buckets, group, F.lit(0.5), "_median")
 
     def medians(self, by: Sequence[str], measures: Sequence[Measure], where: Column | None = None) -> DataFrame:
-        """Medians alone, lazily: no replicate weight is read."""
+        """Medians alone: no replicate weight is read; one small table is staged on the way."""
         names = {m.column: m.name for m in measures}
         _, _, mid = self._medians(list(by), {"all": Block(tuple(measures), where)})
         return mid.groupBy(*by).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.operators.joins import join_on
-from surveyloom.operators.quantile import value_bucket
+from surveyloom.sources.staging import stage
 
 
 def _value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -18,18 +18,19 @@ def _value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 def average_rank(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Descending rank within the group; ties share the mean of their places.
 
-    Rows collapse to counts per value, and a monotone bucket of the value cuts
-    every group into pieces: a large group is never sorted in one task. A NULL
-    value has a NULL rank.
+    Rows collapse to counts per value. A range partition cuts the sorted counts at split points
+    taken from the data, so a large group, however close its values, is
+    shared by many tasks; the counts of a group's earlier ranges are added to the places
+    inside a range. The sorted counts are staged, so the cuts are the same wherever they are read. A NULL value has a NULL rank.
     """
-    counts = _value_counts(df, group, value).withColumn("_bucket", value_bucket(F.col(value)))
-    per_bucket = counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_bn"))
-    earlier = Window.partitionBy(*group).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*group, "_bucket", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_before"))
-    inner = (
-        Window.partitionBy(*group, "_bucket").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = join_on(counts, offsets, [*group, "_bucket"], "inner")
+    counts = _value_counts(df, group, value)
+    order = [*[F.col(g).asc() for g in group], F.col(value).desc()]
+    ranged = stage(counts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per_range = ranged.groupBy(*group, "_range").agg(F.sum("_n").alias("_inside"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(*group, "_range", F.coalesce(F.sum("_inside").over(earlier), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*group, "_range").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = join_on(ranged, offsets, [*group, "_range"], "inner")
     above = F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0))
     ranks = placed.select(*group, value, (above + (F.col("_n") + 1) / 2.0).alias(name))
     return join_on(df, ranks, [*group, value], "left").select(*df.columns, name)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom import LinearDesign, ReplicateDesign, mean, median, total
-from surveyloom.operators import reshape
+from surveyloom import Block, LinearDesign, ReplicateDesign, mean, median, total
+from surveyloom.operators import quantile, reshape
+from surveyloom.operators.ranking import average_rank
 from surveyloom.sources import readers, writers
 
 R = 4
@@ -88,3 +89,43 @@ def test_delimited_text_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == rows
     (tmp_path / "x.csv").write_text('title,code\n"Managers ""all"", other",111011\n')
     assert [tuple(r) for r in readers.read_strings(spark, str(tmp_path / "x.csv")).collect()] == [('Managers "all", other', "111011")]
+
+
+def test_image_keeps_the_order_of_doubles(spark):
+    values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.0, 1.0000000000000002, 1.9999999999999998, 2.0, 3.0, 1e300, 1.7976931348623157e308, float("inf")]
+    values += [2.0**e for e in range(-1022, 1024, 31)] + [1000.0 + i / 1e9 for i in range(50)] + [x * 1.1**i for i, x in enumerate([7.3] * 200)]
+    df = spark.createDataFrame([(v,) for x in values for v in (x, -x)], "x double").distinct()
+    got = sorted((r.x, r.i) for r in df.select("x", quantile.image(F.col("x")).alias("i")).collect())
+    images = [i for x, i in got]
+    assert images == sorted(images) and len(set(images)) == len({x for x, _ in got})
+    bits = {x: __import__("struct").unpack(">q", __import__("struct").pack(">d", x))[0] for x in values}
+    assert all(i == bits[x] for x, i in got if x in bits and x >= 0)
+
+
+def test_narrow_values_have_exact_medians_and_ranks_in_many_tasks(spark):
+    """100,000 distinct values within one percent, most of them in one group."""
+    n = 100_000
+    x = 1000 + (F.col("id") * 7919 % n) / (n * 100)
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), x.alias("x"), (1 + F.col("id") % 3).cast("double").alias("w"))
+    df = df.withColumn("reps", F.array("w", "w")).repartition(8)
+    got = {r.g: r.md for r in ReplicateDesign(df, "w", "reps", count=2).medians(["g"], [median("md", "x")]).collect()}
+    for g in "ab":
+        rows = sorted((r.x, r.w) for r in df.where(F.col("g") == g).collect())
+        whole, cum = sum(w for _, w in rows), 0.0
+        assert got[g] == next(v for v, w in rows if (cum := cum + w) >= whole / 2)
+    ranks = average_rank(df, ["g"], "x", "place")
+    top = {g: sorted((r.x for r in df.where(F.col("g") == g).collect()), reverse=True) for g in "ab"}
+    some = ranks.where("w = 2").collect()
+    place = {(g, v): i for g in "ab" for i, v in enumerate(top[g], 1)}
+    assert all(r.place == place[r.g, r.x] for r in some) and some
+
+
+def test_persons_collapse_to_patterns(spark, people):
+    """Rows after the only aggregation of persons do not grow with the persons, and are not spread before it."""
+    flagged = people.withColumn("f", (F.col("id") % 2).cast("int"))
+    design = ReplicateDesign(flagged.unionAll(flagged), "w", "reps", count=R)
+    blocks = {"all": Block([total("N"), total("F", "f")]), "low": Block([total("F", "f")], F.col("x") < 3)}
+    patterns = design._patterns(["g"], blocks, None).df
+    assert patterns.count() <= 5 * 2 * 2
+    plan = design.sums(["g"], blocks).df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.rindex("Aggregate")
