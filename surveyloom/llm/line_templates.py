@@ -53,30 +53,31 @@ def _tokens(line: Column) -> Column:
 
 
 def _fields(tokens: Column) -> Column:
-    """32-bit hashes of the fields; field i of n tokens begins at ``i * n / FIELDS``."""
+    """32-bit hashes of the fields; field i of n tokens begins at ``i * n / fields``, and a short line has a field for each token."""
     n = F.size(tokens)
+    fields = F.least(n, F.lit(FIELDS))
 
-    def field(i: int) -> Column:
-        low, high = F.floor(F.lit(i) * n / FIELDS).cast("int"), F.floor(F.lit(i + 1) * n / FIELDS).cast("int")
+    def field(i: Column) -> Column:
+        low, high = F.floor(i * n / fields).cast("int"), F.floor((i + 1) * n / fields).cast("int")
         return F.hash(F.array_join(F.slice(tokens, low + 1, high - low), " "))
 
-    one_by_one = [F.hash(F.get(tokens, F.lit(i))) for i in range(FIELDS - 1)]
-    short = F.slice(F.array(*one_by_one), 1, n)
-    return F.when(n >= FIELDS, F.array(*[field(i) for i in range(FIELDS)])).when(n >= SHORTEST, short)
+    return F.when(n >= SHORTEST, F.transform(F.sequence(F.lit(0), fields - 1), field))
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """``doc_id, text_hash, place, template, leaf, fields``: one row for each line that is a template.
+    """``doc_id, text_hash, place, template, leaf, fields``: one row for each line.
 
-    Lines without variable fields have no leaf and no fields.
+    Lines that are no template have none; lines without variable fields have no leaf and no fields.
     """
     lines = docs.where("text is not null").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line")
     )
     cut = lines.select("doc_id", "text_hash", "place", "line", _tokens(F.col("line")).alias("tokens"))
-    cut = cut.where(F.size("tokens") > 0).withColumn("constant", F.array_remove("tokens", VARIABLE))
+    cut = cut.withColumn("constant", F.array_remove("tokens", VARIABLE))
     tokens, n, constant = F.col("tokens"), F.size("tokens"), F.col("constant")
-    content = (2 * F.size(constant) >= n) & (F.length(F.array_join(constant, "")) >= LEAST_CHARS)
+    # A column of its own, else it would be computed for each use.
+    cut = cut.withColumn("content", (2 * F.size(constant) >= n) & (F.length(F.array_join(constant, "")) >= LEAST_CHARS))
+    content = F.col("content")
     bare = F.regexp_replace("line", r"\s+", "")
     as_it_stands = F.xxhash64(F.lit("line"), F.array_join(F.array_remove(F.split("line", r"\s+"), ""), " "))
     lead = F.when(n >= FIELDS, depth).otherwise(min(depth, SHORT_DEPTH))
@@ -88,7 +89,7 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
         F.when(content, F.xxhash64(n, F.array_join(tokens, " "))).when((n >= LEAST_TOKENS) | (F.length(bare) >= LEAST_CHARS), as_it_stands).alias("template"),
         F.when(content & (n >= SHORTEST), leaf).alias("leaf"),
         F.when(content, _fields(tokens)).alias("fields"),
-    ).where("template is not null")
+    )
 
 
 def choices(fields: Column, leaf: Column, similarity: float) -> Column:
@@ -136,7 +137,8 @@ def general_templates(lines: DataFrame, similarity: float) -> DataFrame:
 
 def recurring_places(docs: DataFrame, depth: int = 3, similarity: float = 0.75) -> DataFrame:
     """``_doc, _hash, dropped``: the places of the lines that go, for every document that loses some."""
-    lines = stage(parsed_lines(docs, depth), "lines")
+    # The filter comes after staging; before, Spark would cut every line into tokens several times.
+    lines = stage(parsed_lines(docs, depth), "lines").where("template is not null")
     here = F.struct("doc_id", "text_hash", "place")
     seen = lines.groupBy("template").agg(F.min(here).alias("first"), F.max(here).alias("last"))
     exact = seen.where(_in_two_documents(F.col("first"), F.col("last"))).select("template", "first")
