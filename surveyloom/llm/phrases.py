@@ -39,7 +39,7 @@ PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 MARK = b"."  # in no word
 TO_MARKS = bytes.maketrans(PIECE_ENDS + b"\x09", MARK * len(PIECE_ENDS) + b" ")
 # Bytes of text that a task counts at a time.
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 4 << 20
 ROWS_AT_ONCE = 1 << 16
 # Bits of the bitmap of frequent runs (8 MB); two of them for each run.
 FILTER_BITS = 1 << 26
