@@ -3,10 +3,13 @@
 A vector of length one is cut into two halves, each with a codebook of its own. The
 pair of nearest centroids is the vector's cell in a product grid, where inverted lists
 are kept. A vector visits cells in the order of ``e1 + e2``, how much farther (in squared
-distance) their centroids are than the nearest ones, up to a margin. The margin is
-where ``target_recall`` of pairs at exactly the least similarity, the hardest ones, have
-been met from one side or the other; it is measured on pairs made from the sample. What
-is met is verified by the exact cosine in double precision.
+distance) their centroids are than the nearest ones, up to a margin. The margin is the
+largest of what four measurements ask for, each at ``target_recall`` and from one side or
+the other: pairs at exactly the least similarity, made from the sample in random
+directions of the whole space, in directions drawn from the covariance of the data and in
+directions between sampled vectors; and real pairs, for which ``QUERY_ROWS`` sampled
+vectors are compared with every vector of their label, in blocks. What is met is verified
+by the exact cosine in double precision.
 
 Grid rows (cells with one first centroid) are the places where the lists meet their
 visitors: a vector is sent to the rows it visits, and inside a row only to the lists it
@@ -42,6 +45,8 @@ from surveyloom.sources.staging import stage
 
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 32 << 20
+# Sampled vectors of each length whose real neighbours among all vectors set the margin.
+QUERY_ROWS = 1024
 ROWS_PER_CELL = 64
 ROWS_PER_BLOCK = 8192
 # Visitors of a list that are compared at a time.
@@ -86,18 +91,77 @@ def fit(sample: np.ndarray, size: int, similarity: float, target_recall: float)
     rng = np.random.default_rng(0)
     half, size = sample.shape[1] // 2, max(1, min(size, len(sample) // 16))
     index = MultiIndex(_codebook(sample[:, :half], size if half else 1, rng), _codebook(sample[:, half:], size, rng), 0.0)
-    # A neighbour at exactly the least similarity, in a random direction.
-    away = rng.standard_normal(sample.shape)
-    away -= (away * sample).sum(1, keepdims=True) * sample
-    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
-    other = similarity * sample + np.sqrt(1 - similarity**2) * away
-    (a1, a2), (b1, b2), here = index.excess(sample), index.excess(other), np.arange(len(sample))
-    there = a1[here, b1.argmin(1)] + a2[here, b2.argmin(1)]
-    back = b1[here, a1.argmin(1)] + b2[here, a2.argmin(1)]
-    index.margin = float(np.quantile(np.minimum(there, back), target_recall))
+    here = np.arange(len(sample))
+    for away in _directions(sample, rng):
+        away = away - (away * sample).sum(1, keepdims=True) * sample
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        other = similarity * sample + np.sqrt(1 - similarity**2) * away / np.maximum(length, 1e-300)
+        e, other_e = index.excess(sample), index.excess(other)
+        needed = _needed(e, other_e, here, here)[length[:, 0] > 1e-9]
+        if len(needed):
+            index.margin = max(index.margin, float(np.quantile(needed, target_recall)))
     return index
 
 
+def _directions(sample: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Ways to leave each vector: anywhere, as the data spreads, and towards another vector."""
+    yield rng.standard_normal(sample.shape)
+    spread, axes = np.linalg.eigh(sample.T @ sample / len(sample))
+    yield rng.standard_normal(sample.shape) * np.sqrt(np.maximum(spread, 0)) @ axes.T
+    yield sample[rng.permutation(len(sample))] - sample
+
+
+def _needed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The margin at which vector ``i`` of ``a`` and vector ``j`` of ``b`` meet, from the nearer side."""
+    (a1, a2), (b1, b2) = a, b
+    there = a1[i, b1.argmin(1)[j]] + a2[i, b2.argmin(1)[j]]
+    back = b1[j, a1.argmin(1)[i]] + b2[j, a2.argmin(1)[i]]
+    return np.minimum(there, back)
+
+
+def _widen(distinct: DataFrame, indexes: dict[int, MultiIndex], samples: dict[int, pa.Table], similarity: float, target_recall: float) -> None:
+    """Margins at which ``target_recall`` of the queries meet all their real neighbours.
+
+    One scan; a task returns one number for each query that has a neighbour in it.
+    """
+    queries = {}
+    for dim, sample in samples.items():
+        own = sample.slice(0, QUERY_ROWS)
+        x = _unit_vectors(own["vector"])
+        queries[dim] = (own["rep"].to_numpy(), own["kind"].to_numpy(), x, indexes[dim].excess(x))
+    shared = distinct.sparkSession.sparkContext.broadcast((indexes, queries))
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes, queries = shared.value
+        most = {dim: np.full(len(q[0]), -1.0) for dim, q in queries.items()}
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims):
+                some = batch.filter(pa.array(dims == dim))
+                rep, kind, x, e = queries[dim]
+                rows, row_kind, y = some["rep"].to_numpy(), some["kind"].to_numpy(), _unit_vectors(some["vector"])
+                for low in range(0, len(x), TILE):
+                    i, j = np.nonzero(x[low : low + TILE] @ y.T >= similarity)
+                    i += low
+                    real = (kind[i] == row_kind[j]) & (rep[i] != rows[j])
+                    i, j = i[real], j[real]
+                    if len(i):
+                        near, to = np.unique(j, return_inverse=True)
+                        np.maximum.at(most[dim], i, _needed(e, indexes[dim].excess(y[near]), i, to))
+        for dim, needed in most.items():
+            met = np.flatnonzero(needed >= 0)
+            columns = [pa.array(np.full(len(met), dim), pa.int32()), pa.array(met, pa.int32()), pa.array(needed[met])]
+            yield pa.RecordBatch.from_arrays(columns, names=["dim", "query", "needed"])
+
+    found = distinct.select("rep", "dim", "kind", "vector").mapInArrow(needs, "dim int, query int, needed double")
+    # At most QUERY_ROWS numbers for each length of vectors.
+    per_query = found.groupBy("dim", "query").agg(F.max("needed").alias("needed")).toPandas()
+    for dim, needed in per_query.groupby("dim")["needed"]:
+        margin = float(np.quantile(needed.to_numpy(), target_recall, method="higher"))
+        # Rounding in blocks of another shape may move the last bits.
+        indexes[dim].margin = max(indexes[dim].margin, margin * (1 + 1e-9) + 1e-12)
+
+
 def _unit_vectors(column: pa.Array) -> np.ndarray:
     flat = np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64)
     vectors = flat.reshape(len(column), -1)
@@ -155,18 +219,23 @@ def near_duplicate_vectors(embeddings: DataFrame, similarity: float = 0.93, targ
     odd = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == infinite))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~odd & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    distinct = stage(_distinct_vectors(rows.where("_ok")), "vectors").withColumn("dim", F.size("vector"))
+    distinct = stage(_distinct_vectors(rows.where("_ok")), "vectors")
+    distinct = distinct.withColumn("dim", F.size("vector")).withColumn("kind", F.xxhash64("label"))
 
     sizes = distinct.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect()
     indexes: dict[int, MultiIndex] = {}
+    samples: dict[int, pa.Table] = {}
     for r in sizes:
         wanted = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * r["dim"])))
         part = distinct.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / r["n"]))))
-        sample = part.select("rep", "vector").toArrow().sort_by("rep")
+        sample = part.select("rep", "kind", "vector").toArrow().sort_by("rep")
         if not len(sample):
-            sample = distinct.where(F.col("dim") == r["dim"]).orderBy("rep").limit(1).select("rep", "vector").toArrow()
+            sample = distinct.where(F.col("dim") == r["dim"]).orderBy("rep").limit(1).select("rep", "kind", "vector").toArrow()
         size = round((r["most"] / ROWS_PER_CELL) ** 0.5)
         indexes[r["dim"]] = fit(_unit_vectors(sample["vector"]), size, similarity, target_recall)
+        # Queries spread over the sample, in an order that has nothing to do with their ids.
+        samples[r["dim"]] = sample.take(np.random.default_rng(1).permutation(len(sample))[:QUERY_ROWS])
+    _widen(distinct, indexes, samples, similarity, target_recall)
     shared = spark.sparkContext.broadcast(indexes)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

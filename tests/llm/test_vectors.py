@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from surveyloom.llm.components import connected_components
 from surveyloom.llm import multi_index
@@ -94,6 +95,50 @@ def test_recall_on_random_neighbours(spark):
     assert want >= 3000 and found >= 0.99 * want
 
 
+def low_rank(rng, n, rank, dim):
+    """Vectors of a subspace, and for each a neighbour at 0.935 inside the same subspace."""
+    axes = np.linalg.qr(rng.standard_normal((dim, rank)))[0].T
+    base = rng.standard_normal((n, rank))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal(base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return base @ axes, (0.935 * base + np.sqrt(1 - 0.935**2) * away) @ axes
+
+
+@pytest.mark.parametrize("rank, dim", [(8, 64), (8, 256), (12, 64)])
+def test_margin_of_low_rank_vectors_with_large_codebooks(rank, dim):
+    sample, other = low_rank(np.random.default_rng(6), 6000, rank, dim)
+    index = multi_index.fit(sample, 125, 0.93, 0.9999)
+    here = np.arange(len(sample))
+    needed = multi_index._needed(index.excess(sample), index.excess(other), here, here)
+    assert len(index.first) == 125 and (needed <= index.margin).mean() >= 0.999
+
+
+@pytest.mark.parametrize("own_subspaces", [False, True])
+def test_low_rank_vectors_with_many_centroids_lose_no_link(spark, monkeypatch, own_subspaces):
+    """Also where each cluster has a subspace of its own, which the covariance of all vectors does not show."""
+    rng = np.random.default_rng(7)
+    if own_subspaces:
+        parts = []
+        for _ in range(15):
+            centre, away = rng.standard_normal(64), low_rank(rng, 100, 3, 64)[0]
+            centre /= np.linalg.norm(centre)
+            parts.append(centre + 0.4 * away)
+    else:
+        parts = low_rank(rng, 750, 8, 64)
+    rows = [(i, [float(x) for x in v], 0, "x") for i, v in enumerate(np.concatenate(parts))]
+    monkeypatch.setattr(multi_index, "ROWS_PER_CELL", 1.5)
+    sizes = []
+    fit = multi_index.fit
+    monkeypatch.setattr(multi_index, "fit", lambda *a: sizes.append(fit(*a)) or sizes[-1])
+    found = {r[0]: r[1] for r in run(spark, rows)}
+    want = {r[0]: r[1] for r in brute_force_links(rows)}
+    assert len(sizes[0].first) >= 30
+    assert sum(want.values()) >= 1000 and sum(found.values()) >= 0.999 * sum(want.values())
+    assert all(found[k] <= want[k] for k in want)
+
+
 def brute_force_links(rows):
     x = np.array([r[1] for r in rows], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
