@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from surveyloom.functions.money import share
 from surveyloom.operators import quantile
+from surveyloom.operators.gram import row_rank
 from surveyloom.operators.joins import join_on
 from surveyloom.operators.measures import Block, Measure
 from surveyloom.operators.tquantile import t_quantile_column
@@ -197,20 +198,31 @@ class ReplicateDesign:
         replicates: Sequence[str] | str,
         scale: float | None = None,
         count: int | None = None,
+        degrees: str = "count",
     ):
         """``replicates`` names the weight columns, or one array column of ``count`` weights.
 
         The count of an array is required; rows with another number of weights fail.
+        The degrees of freedom of a median's limits are the number of persons or, where that is
+        less, of replicates, minus one. ``degrees="rank"`` puts the rank of the replicate weights
+        of all persons of the design in the place of their number (one small job).
         """
+        if degrees not in ("count", "rank"):
+            raise ValueError(f"degrees are by 'count' or 'rank', not {degrees!r}")
         if isinstance(replicates, str) and count is None:
             raise ValueError("an array of replicate weights needs its count")
-        self.df, self.weight = df, weight
+        self.df, self.weight, self.degrees = df, weight, degrees
         self.replicates = replicates if isinstance(replicates, str) else list(replicates)
         self.count = count if isinstance(replicates, str) else len(self.replicates)
         self.scale = 4.0 / self.count if scale is None else scale
 
     def where(self, cond: Column) -> ReplicateDesign:
-        return ReplicateDesign(self.df.where(cond), self.weight, self.replicates, self.scale, self.count)
+        return ReplicateDesign(self.df.where(cond), self.weight, self.replicates, self.scale, self.count, self.degrees)
+
+    def _independent_replicates(self) -> int:
+        if self.degrees == "count":
+            return self.count
+        return row_rank(self.df, F.slice(self._all_weights(), 2, self.count), self.count)
 
     def _all_weights(self) -> Column:
         base = F.col(self.weight).cast("double")
@@ -358,15 +370,15 @@ class ReplicateDesign:
             ]
         )
         plain = self.sums(keys, blocks, stage(wide, "medians_by_key")).staged("sums_with_medians")
-        return MedianSums(plain, self.count, mid, hist, buckets)
+        return MedianSums(plain, self._independent_replicates(), mid, hist, buckets)
 
 
 class MedianSums(ReplicateSums):
     """Replicate sums that also know the medians and where to look for limits."""
 
-    def __init__(self, sums: ReplicateSums, replicates: int, mid: DataFrame, hist: DataFrame, buckets: DataFrame):
+    def __init__(self, sums: ReplicateSums, independent: int, mid: DataFrame, hist: DataFrame, buckets: DataFrame):
         super().__init__(sums.df, sums.keys, sums.blocks, sums.scale)
-        self.replicates, self.mid, self.hist, self.buckets = replicates, mid, hist, buckets
+        self.independent, self.mid, self.hist, self.buckets = independent, mid, hist, buckets
 
     def block(self, label, by=None, measures=None):
         df, keys, block = self._select(label, by, measures)
@@ -386,10 +398,10 @@ class MedianSums(ReplicateSums):
             *keys,
             F.inline(F.array(*[F.struct(F.lit(v).alias("_var"), F.col(f"{m.name}_se").alias("_se_p")) for v, m in by_var.items()])),
         )
-        df = F.least(F.lit(self.replicates), F.col("_rows")) - 1
+        df = F.least(F.lit(self.independent), F.col("_rows")) - 1
         known = (
             join_on(self.mid, shares, group, "inner")
-            .withColumn("_t", t_quantile_column(df, self.replicates))
+            .withColumn("_t", t_quantile_column(df, max(1, self.independent - 1)))
             .withColumn("_h", F.col("_t") * F.col("_se_p"))
         )
         sides = known.where(F.col("_h").isNotNull()).select(

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.functions import cleaning, money, recode
-from surveyloom.operators import joins, ranking, reshape
+from surveyloom.operators import distinct, gram, joins, ranking, reshape
 from surveyloom.operators.design import LinearDesign, ReplicateDesign
 from surveyloom.operators.measures import mean, median, total
 from surveyloom.plans import codebooks, occupations, vintages
 from surveyloom.queries import sqlgen, standin
 from surveyloom.queries.standin import table
-from surveyloom.sources import writers
+from surveyloom.sources import readers, writers
 from surveyloom.sources.readers import cut_columns
+from surveyloom.sources.staging import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,6 +174,71 @@ def csv_round_trip(spark, sf_dir):
     return text.select(fields.alias("f")).select("f.*")
 
 
+# Texts of orders; in the order with the largest number three columns are wider than in all others.
+_LATE = "(SELECT o_orderkey = max(o_orderkey) OVER () AS late, * FROM orders)"
+_TEXTS = {
+    "o_orderkey": "CAST(o_orderkey AS {text})",
+    "amount": "CAST(CAST(floor(o_totalprice) AS BIGINT) AS {text}) || CASE WHEN late THEN '.5' ELSE '' END",
+    "big": "CAST(o_custkey + CASE WHEN late THEN 3000000000 ELSE 0 END AS {text})",
+    "mark": "CASE WHEN late THEN 'late, \"row\"' ELSE CAST(o_custkey % 9 AS {text}) END",
+    "zip": "lpad(CAST(o_custkey % 1000 AS {text}), 5, '0')",
+    "day": "CAST(CAST(o_orderdate AS DATE) AS {text})",
+    "gaps": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS {text}) END",
+    "nothing": "CAST(NULL AS {text})",
+}
+
+
+def _late_row_files(spark, sf_dir) -> str:
+    """A folder of CSV files with a header, below the staging folder."""
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    rows = orders.withColumn("late", F.col("o_orderkey") == last)
+    path = new_folder(spark, "late-row")
+    writers.write_table(rows.select(*[F.expr(sql.format(text="STRING")).alias(n) for n, sql in _TEXTS.items()]), path, "csv")
+    return path
+
+
+def _late_row_counts(column: str, kind: str, fits: str, n_null: str = "0", example: str = "NULL") -> str:
+    known = f"count(*) - ({n_null})"
+    return (
+        f"SELECT '{column}' AS \"column\", '{kind}' AS type, CAST({known} AS BIGINT) AS n_values, CAST({n_null} AS BIGINT) AS n_null, "
+        + ", ".join(f"CAST({n} AS BIGINT) AS {c}" for c, n in zip(("n_int", "n_bigint", "n_double", "n_date"), fits.replace("all", known).split(", ")))
+        + f", CAST({example} AS VARCHAR) AS text_example FROM orders"
+    )
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _late_row_counts("o_orderkey", "int", "all, all, all, 0"),
+            _late_row_counts("amount", "double", "all - 1, all - 1, all, 0"),
+            _late_row_counts("big", "bigint", "all - 1, all, all, 0"),
+            _late_row_counts("mark", "string", "all - 1, all - 1, all - 1, 0", example="'late, \"row\"'"),
+            _late_row_counts("zip", "string", "0, 0, 0, 0", example="min(lpad(CAST(o_custkey % 1000 AS VARCHAR), 5, '0'))"),
+            _late_row_counts("day", "date", "0, 0, 0, all"),
+            _late_row_counts("gaps", "int", "all, all, all, 0", "count(*) FILTER (o_orderkey % 3 = 0)"),
+            _late_row_counts("nothing", "string", "0, 0, 0, 0", "count(*)"),
+        ]
+    )
+)
+def inferred_types(spark, sf_dir):
+    """Types of CSV files from all their rows: one late row widens three columns."""
+    return readers.read_inferred(spark, _late_row_files(spark, sf_dir))[1]
+
+
+_INFERRED_TYPES = {"o_orderkey": "INT", "amount": "DOUBLE", "big": "BIGINT", "day": "DATE", "gaps": "INT"}
+
+
+@query(
+    "SELECT "
+    + ", ".join(f"CAST({sql.format(text='VARCHAR')} AS {_INFERRED_TYPES.get(n, 'VARCHAR')}) AS {n}" for n, sql in _TEXTS.items())
+    + f" FROM {_LATE}"
+)
+def inferred_read(spark, sf_dir):
+    """The same files, read with the types found."""
+    return readers.read_inferred(spark, _late_row_files(spark, sf_dir))[0]
+
+
 # -- indicators, recodes ------------------------------------------------------
 
 _FLAGS = "WORKINGAGE FTEMP PTEMP FEM MAL MOM MOMYC SMOM SMOMYC LESSBACH BACHMORE EDATT_RC CNT".split()
@@ -366,7 +432,7 @@ def distinct_codes(spark, sf_dir):
 _LINES = f"src AS (SELECT *, {standin.QUANTITY} AS q, NULLIF(l_discount, 0) AS disc, CAST(l_linestatus = 'O' AS INT) AS open, CAST(floor(l_extendedprice) AS DOUBLE) AS price FROM lineitem)"
 
 
-def _design(spark, sf_dir) -> ReplicateDesign:
+def _design(spark, sf_dir, degrees: str = "count") -> ReplicateDesign:
     columns = {c: c for c in "l_returnflag l_linestatus l_suppkey l_quantity l_shipdate".split()}
     columns |= {
         "disc": "nullif(l_discount, 0D)",
@@ -374,11 +440,11 @@ def _design(spark, sf_dir) -> ReplicateDesign:
         "price": "CAST(floor(l_extendedprice) AS DOUBLE)",
     }
     lines = standin.weighted_lines(spark, sf_dir, columns)
-    return ReplicateDesign(lines, standin.BASE, standin.REPLICATES, count=80)
+    return ReplicateDesign(lines, standin.BASE, standin.REPLICATES, count=80, degrees=degrees)
 
 
-def _survey_sql(keys, measures, where="TRUE", digits=4) -> str:
-    return f"WITH {_LINES} SELECT * FROM {sqlgen.estimate('src', keys, measures, where, digits)}"
+def _survey_sql(keys, measures, where="TRUE", digits=4, independent="80") -> str:
+    return f"WITH {_LINES} SELECT * FROM {sqlgen.estimate('src', keys, measures, where, digits, independent)}"
 
 
 _COUNT = [total("n")]
@@ -444,6 +510,24 @@ def svy_median_se(spark, sf_dir):
     return rounded(_design(spark, sf_dir).estimate(["l_suppkey"], _MEDIAN))
 
 
+# The stand-in weights are multiples of seven rows that are independent of each other (a circulant matrix of 3 to 9).
+@query(_survey_sql(["l_suppkey"], _MEDIAN, independent="(SELECT count(DISTINCT (31 * l_orderkey + 17 * l_linenumber) % 7) FROM lineitem)"))
+def svy_median_rank_df(spark, sf_dir):
+    """Degrees of freedom from the rank of the replicate weights."""
+    return rounded(_design(spark, sf_dir, "rank").estimate(["l_suppkey"], _MEDIAN))
+
+
+@query(
+    f"WITH k AS (SELECT (31 * l_orderkey + 17 * l_linenumber) % 7 AS kind, sum(CAST({standin.QUANTITY} AS DOUBLE) * {standin.QUANTITY}) AS qq "
+    "FROM lineitem GROUP BY 1) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, sum(qq * (3 + (kind + 13 * i) % 7) * (3 + (kind + 13 * j) % 7)) AS g "
+    "FROM k CROSS JOIN range(1, 81) AS a(i) JOIN range(1, 81) AS b(j) ON i <= j GROUP BY 1, 2"
+)
+def replicate_gram(spark, sf_dir):
+    """Gram matrix of the replicate weights; all its numbers are whole, so the sums are exact."""
+    design = _design(spark, sf_dir)
+    return gram.gram_matrix(design.df, F.col(standin.REPLICATES), 80)
+
+
 _LINEAR = f"src AS (SELECT *, CAST(6 * {standin.QUANTITY} AS DOUBLE) AS w, NULLIF(l_discount, 0) AS disc, CAST(l_linestatus = 'O' AS INT) AS open, CAST(floor(l_extendedprice) AS DOUBLE) AS price FROM lineitem)"
 
 
@@ -679,3 +763,22 @@ def report_format(spark, sf_dir):
         F.replace(money.percent_text(size, 1), F.lit(","), F.lit("")).alias("growth"),
         F.round(F.col("p_retailprice") / 8, 2).alias("openings"),
     )
+
+
+@query(
+    "WITH t AS (SELECT r_name, n_name, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey END AS code FROM lineitem JOIN supplier ON l_suppkey = s_suppkey "
+    "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) "
+    "SELECT 'nation' AS level, r_name, n_name, count(DISTINCT code) AS n_codes FROM t GROUP BY ALL UNION ALL "
+    "SELECT 'region', r_name, NULL, count(DISTINCT code) FROM t GROUP BY ALL UNION ALL SELECT 'all', NULL, NULL, count(DISTINCT code) FROM t"
+)
+def distinct_codes_rollup(spark, sf_dir):
+    """Distinct codes by area, by region and overall, from one set of bitmaps."""
+    lines, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = (
+        lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
+        .join(nation, F.col("s_nationkey") == nation.n_nationkey)
+        .join(region, F.col("n_regionkey") == region.r_regionkey)
+        .select("r_name", "n_name", F.expr("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey END").alias("code"))
+    )
+    return distinct.distinct_rollup(rows, {"nation": ["r_name", "n_name"], "region": ["r_name"], "all": []}, "code")

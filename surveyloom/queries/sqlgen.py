@@ -75,8 +75,11 @@ def _theta(m: Measure) -> str:
     return f"CAST({value} AS DOUBLE) AS {m.name}"
 
 
-def estimate(source: str, keys: Sequence[str], measures: Sequence[Measure], where: str = "TRUE", digits: int = 4) -> str:
-    """A subselect with the keys and, rounded, ``X`` and ``X_se`` per measure."""
+def estimate(source: str, keys: Sequence[str], measures: Sequence[Measure], where: str = "TRUE", digits: int = 4, independent: str = "80") -> str:
+    """A subselect with the keys and, rounded, ``X`` and ``X_se`` per measure.
+
+    ``independent`` is the number of independent replicates behind a median's limits.
+    """
     linear = [m for m in measures if m.kind != "median"]
     medians = [m for m in measures if m.kind == "median"]
     k = "".join(f"{c}, " for c in keys)
@@ -97,7 +100,7 @@ def estimate(source: str, keys: Sequence[str], measures: Sequence[Measure], wher
     )
     joins = ""
     for i, m in enumerate(medians):
-        sql += ", " + _median(source, keys, m, where, f"m{i}")
+        sql += ", " + _median(source, keys, m, where, f"m{i}", independent)
         joins += f" LEFT JOIN m{i} ON {_same('e', f'm{i}', keys)}"
     cols = []
     for m in measures:
@@ -109,7 +112,7 @@ def estimate(source: str, keys: Sequence[str], measures: Sequence[Measure], wher
     return f"({sql} SELECT {_list('e', keys)}{', '.join(cols)} FROM est e{joins})"
 
 
-def _median(source: str, keys: Sequence[str], m: Measure, where: str, name: str) -> str:
+def _median(source: str, keys: Sequence[str], m: Measure, where: str, name: str, independent: str) -> str:
     k = "".join(f"{c}, " for c in keys)
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     by = f"GROUP BY {', '.join(keys)}" if keys else ""
@@ -127,7 +130,7 @@ def _median(source: str, keys: Sequence[str], m: Measure, where: str, name: str)
         f"FROM {name}_p a JOIN {name}_p b ON {_same('a', 'b', keys)} AND a.r = 0 AND b.r > 0 "
         + (f"GROUP BY {', '.join('a.' + c for c in keys)}" if keys else "")
         + "), "
-        f"{name}_t AS (SELECT {_list('g', keys)}med, se_p, CASE WHEN n > 1 THEN {_T}[CAST(least(80, n) - 1 AS INT)] END AS t "
+        f"{name}_t AS (SELECT {_list('g', keys)}med, se_p, CASE WHEN n > 1 THEN {_T}[CAST(least({independent}, n) - 1 AS INT)] END AS t "
         f"FROM {name}_m g JOIN {name}_h ON {_same('g', f'{name}_h', keys)}), "
         f"{name} AS (SELECT {_list('g', keys)}max(med) AS med, "
         f"(min(CASE WHEN c >= least(0.5 + t * se_p, 1) * tot THEN x END) - min(CASE WHEN c >= (0.5 - t * se_p) * tot THEN x END)) "

@@ -39,6 +39,60 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, columns: Se
     return typed(read_strings(spark, path), wanted, lambda c: null_if_any(c, TEXT_NULLS))
 
 
+# From the narrowest to the widest; text takes everything.
+INFERRED = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
+
+
+def type_report(df: DataFrame) -> DataFrame:
+    """What type each text column could have, judged by all its values.
+
+    One row a column: ``column, type, n_values, n_null``, for each type of ``INFERRED`` the
+    number of values that fit (``n_int`` and so on), and ``text_example``, the smallest value
+    that is not a number, or not a date in a column that begins as dates. Empty text and NA are missing. A number with leading zeros is a
+    code, so it fits no number; a column without any value is text. The columns are turned
+    into rows first, so one aggregation of fixed width does for a table of any width.
+    """
+    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "raw")
+    rows = long.select("column", null_if_any(F.col("raw"), TEXT_NULLS).alias("v"))
+    v = F.col("v")
+    whole, real = v.rlike(r"^[+-]?(0|[1-9][0-9]*)$"), v.rlike(r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    fits = {
+        "int": whole & v.try_cast("int").isNotNull(),
+        "bigint": whole & v.try_cast("bigint").isNotNull(),
+        "double": real & v.try_cast("double").isNotNull(),
+        "date": v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull(),
+    }
+    neither = ~(fits["double"] | fits["date"])
+    counts = rows.groupBy("column").agg(
+        F.count("v").alias("n_values"),
+        F.count_if(v.isNull()).alias("n_null"),
+        *[F.count_if(fit).alias(f"n_{name}") for name, fit in fits.items()],
+        F.min(F.when(neither, v)).alias("_odd"),
+        F.min(F.when(~fits["double"], v)).alias("_no_number"),
+    )
+    kind = F.lit("string")
+    for name in reversed(INFERRED):
+        kind = F.when((F.col("n_values") > 0) & (F.col(f"n_{name}") == F.col("n_values")), name).otherwise(kind)
+    example = F.when(F.col("type") == "string", F.coalesce("_odd", "_no_number"))
+    typed_counts = counts.withColumn("type", kind)
+    return typed_counts.select("column", "type", "n_values", "n_null", *[f"n_{name}" for name in INFERRED], example.alias("text_example"))
+
+
+def read_inferred(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A CSV table (or a folder of such files) with types taken from all its rows, and the report on them.
+
+    The report is computed at once and holds one row a column. No row can fail to
+    fit: a single late value that is wider widens its column.
+    """
+    text = read_strings(spark, path, multi_line=multi_line)
+    found = type_report(text).collect()
+    report = spark.createDataFrame(found, type_report(text).schema)
+    kinds = {r["column"]: INFERRED.get(r["type"], T.StringType()) for r in found}
+    # A table without rows has no row in the report either: its columns stay text.
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in text.columns])
+    return typed(text, schema, lambda c: null_if_any(c, TEXT_NULLS)), report
+
+
 def read_folder(spark: SparkSession, folder: str, tables: Mapping[str, tuple[str, T.StructType]]) -> dict[str, DataFrame]:
     """Several tables of one folder, each by its name and never by its position."""
     return {name: read_table(spark, f"{folder}/{file}", schema) for name, (file, schema) in tables.items()}
