@@ -71,3 +71,47 @@ def apply_crosswalk(df: DataFrame, pairs: Mapping[str, str], source: str, target
     table = df.sparkSession.createDataFrame(list(pairs.items()), f"{source} string, {target} string")
     joined = df.join(F.broadcast(table), source, "left")
     return joined.select(*df.columns, F.coalesce(F.col(target), F.col(source)).alias(target))
+
+
+# Keys that the sketch of frequent items keeps; at most this many reach the driver.
+HOT_KEYS = 1000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> list[int]:
+    """Hashes of the keys that may hold more than ``share`` of the rows, from one mergeable sketch.
+
+    The sketch overstates a count and never leaves out a key above ``share``; a key that is
+    listed without need is split without need.
+    """
+    if not 1 / HOT_KEYS <= share <= 1:
+        raise ValueError(f"a share between {1 / HOT_KEYS} and 1 is needed")
+    hashed = df.select(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("_h"))
+    # The sketch tracks 16 times the keys asked for.
+    top = F.expr(f"approx_top_k(_h, {HOT_KEYS}, {16 * HOT_KEYS})")
+    found = hashed.agg(F.count("*").alias("n"), top.alias("top")).first()
+    return [x["item"] for x in found["top"] or [] if x["count"] > share * found["n"]]
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", share: float = 0.01, pieces: int = 64) -> DataFrame:
+    """``join_on`` for a left side in which some keys hold much of the rows.
+
+    Left rows of hot keys are dealt to ``pieces`` by the hash of the whole row, right rows of
+    these keys are repeated for every piece, and all other rows are joined as they are. One small
+    job finds the hot keys. Rows that are equal in all columns stay in one piece. Right rows are
+    repeated, so only joins that keep no unmatched right row are possible.
+    """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"{how} would repeat unmatched rows of the right side")
+    hot = hot_keys(left, keys, share)
+    if not hot:
+        return join_on(left, right, keys, how)
+
+    def is_hot(df: DataFrame) -> Column:
+        return F.array_contains(F.lit(hot), F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
+
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.lit(1))
+    dealt = left.withColumn("_piece", F.when(is_hot(left), F.pmod(whole, F.lit(pieces))).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(is_hot(right), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.select("*", F.explode(copies).alias("_piece"))
+    joined = join_on(dealt, repeated, [*keys, "_piece"], how)
+    return joined.drop("_piece")

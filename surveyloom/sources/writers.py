@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +28,37 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     return {name: write_table(df, f"{folder}/{name}", fmt) for name, df in tables.items()}
+
+
+MANIFEST = "_manifest"
+
+
+def publish_tables(tables: Mapping[str, DataFrame], folder: str, checks: Mapping[str, Mapping[str, Column]] | None = None) -> DataFrame:
+    """Write the tables of one run so that readers see all of them or none.
+
+    Each run writes into a place of its own below ``folder``; the manifest, one row a table with
+    its path, its rows and the sums asked for in ``checks``, is written last. Rows and sums are
+    observed while the table is written, so nothing is scanned twice. A run that fails leaves
+    the manifest of the run before it as it was. Returns the manifest of this run.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    run = uuid.uuid4().hex
+    rows = []
+    for name, df in tables.items():
+        seen = Observation(f"{name}-{run}")
+        sums = {k: c.cast("double") for k, c in (checks or {}).get(name, {}).items()}
+        path = f"{folder}/{run}/{name}"
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(k) for k, c in sums.items()]).write.parquet(path)
+        rows.append((name, path, seen.get["rows"], {k: seen.get[k] for k in sums}))
+    manifest = spark.createDataFrame(rows, "name string, path string, rows long, sums map<string, double>")
+    # One file of a few rows. Its folder is new, and it counts only once the writer's success mark is there.
+    manifest.coalesce(1).withColumn("at", F.current_timestamp()).write.parquet(f"{folder}/{MANIFEST}/run={run}")
+    return manifest
+
+
+def read_published(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the last run that was published whole."""
+    runs = spark.read.option("basePath", f"{folder}/{MANIFEST}").parquet(f"{folder}/{MANIFEST}/run=*")
+    last = runs.select(F.max_by("run", F.struct("at", "run"))).scalar()
+    # One row a table of the program.
+    return {r["name"]: spark.read.parquet(r["path"]) for r in runs.where(F.col("run") == last).select("name", "path").collect()}
