@@ -30,11 +30,14 @@ def to_long(df: DataFrame, name: str = "name", value: str = "value") -> DataFram
 def to_wide(df: DataFrame, keys: Sequence[str], names: str, value: str, levels: Sequence | None = None) -> DataFrame:
     """One column per level of ``names``.
 
-    Without ``levels`` they are read from the data in a job of their own. With them no
-    job runs, and a row of a level that is not listed fails instead of vanishing.
+    Without ``levels`` they are read from the data in a job of their own, however many there are. With
+    them no job runs, and a row of a level that is not listed fails instead of vanishing.
     """
     if levels is None:
-        return df.groupBy(*keys).pivot(names).agg(F.first(value))
+        # One row a column of the result. Named levels are not subject to ``spark.sql.pivotMaxValues``.
+        df = df.withColumn(names, F.col(f"`{names}`").cast("string"))
+        found = [r[0] for r in df.select(f"`{names}`").distinct().sort(f"`{names}`").collect()]
+        return df.groupBy(*keys).pivot(names, found).agg(F.first(value))
     unlisted = F.raise_error(F.format_string("%s is not a listed level", F.col(names)))
     checked = F.when(F.col(names).isNull() | F.col(names).isin(list(levels)), F.col(names)).otherwise(unlisted)
     return df.withColumn(names, checked).groupBy(*keys).pivot(names, list(levels)).agg(F.first(value))

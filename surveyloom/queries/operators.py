@@ -15,7 +15,7 @@ from surveyloom.operators.measures import mean, median, total
 from surveyloom.plans import codebooks, occupations, vintages
 from surveyloom.queries import sqlgen, standin
 from surveyloom.queries.standin import table
-from surveyloom.sources import readers, writers
+from surveyloom.sources import readers, records, writers
 from surveyloom.sources.readers import cut_columns
 from surveyloom.sources.staging import new_folder
 
@@ -95,13 +95,68 @@ _LINE = (
 )
 def fixed_width(spark, sf_dir):
     lines = table(spark, sf_dir, "part").select(F.expr(_LINE).cast("string").alias("value"))
-    layout = {
-        "id": (1, 12, T.LongType()),
-        "brand": (13, 10, T.StringType()),
-        "kind": (23, 10, T.StringType()),
-        "size": (33, 4, T.IntegerType()),
+    return cut_columns(lines, "value", _RECORD)
+
+
+_RECORD = {
+    "id": (1, 12, T.LongType()),
+    "brand": (13, 10, T.StringType()),
+    "kind": (23, 10, T.StringType()),
+    "size": (33, 4, T.IntegerType()),
+}
+
+
+@query(
+    "SELECT p_partkey AS id, p_type AS kind, CASE WHEN p_size = 50 THEN NULL ELSE p_size END AS size FROM part "
+    "WHERE p_size >= 10 AND p_size < 50 AND p_brand <> 'Brand#1' AND p_brand IN ('Brand#2', 'Brand#13', 'Brand#25')"
+)
+def fixed_records(spark, sf_dir):
+    """Some columns of files of fixed records; three of the filters reach the scan."""
+    path = new_folder(spark, "records")
+    # 36 characters and the line end.
+    table(spark, sf_dir, "part").select(F.expr(_LINE).cast("string").alias("value")).write.text(path)
+    rows = records.read_records(spark, path, _RECORD, 37)
+    wanted = (F.col("size") >= 10) & (F.col("brand") != "Brand#1") & F.col("brand").isin("Brand#2", "Brand#13", "Brand#25")
+    return rows.where(wanted).select("id", "kind", "size")
+
+
+@query(
+    "SELECT n_name, r_name, CAST(n_nationkey AS INT) AS n_nationkey, 'x' || n_regionkey AS region FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
+def folder_tables(spark, sf_dir):
+    """Two tables written as CSV files into one folder, read by name, joined by a code of text."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    code = F.concat(F.lit("x"), F.col("n_regionkey").cast("string"))
+    folder = new_folder(spark, "folder")
+    writers.write_tables(
+        {
+            "nation": nation.select("n_nationkey", "n_name", code.alias("region")),
+            "region": region.select("r_name", F.concat(F.lit("x"), F.col("r_regionkey").cast("string")).alias("region")),
+        },
+        folder,
+        "csv",
+    )
+    schemas = {
+        "nation": ("nation", T.StructType().add("n_name", "string").add("region", "string").add("n_nationkey", T.IntegerType())),
+        "region": ("region", T.StructType().add("region", "string").add("r_name", "string")),
     }
-    return cut_columns(lines, "value", layout)
+    tables = readers.read_folder(spark, folder, schemas)
+    return tables["nation"].join(tables["region"], "region").select("n_name", "r_name", "n_nationkey", "region")
+
+
+@query(
+    "SELECT p_brand AS code, year(l_shipdate)::INT AS year, count(*) AS n, round(sum(l_quantity) + 1e-6, 4) AS quantity "
+    "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) IN (1996, 1997) GROUP BY ALL"
+)
+def bucketed_extract(spark, sf_dir):
+    """Persons in folders by year, bucketed by occupation; sums of two years without an exchange after the scan."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    rows = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        F.col("p_brand").alias("code"), F.year("l_shipdate").alias("year"), "l_quantity"
+    )
+    extract = writers.write_bucketed(rows, new_folder(spark, "extract"), "code", 8, ["year"])
+    wanted = extract.where(F.col("year").isin(1996, 1997))
+    return rounded(wanted.groupBy("code", "year").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")))
 
 
 @query(

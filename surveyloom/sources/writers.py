@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Quotes are doubled. NULL is written as NA and empty text as two quotes, so the two differ when read again.
@@ -30,6 +31,38 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parqu
     return {name: write_table(df, f"{folder}/{name}", fmt) for name, df in tables.items()}
 
 
+def write_bucketed(
+    df: DataFrame, path: str, key: str, buckets: int, partition_by: Sequence[str] = (), files_per_bucket: int = 1
+) -> DataFrame:
+    """Write the table in folders of ``partition_by``, cut into buckets by a hash of ``key``, and return it as read back.
+
+    Grouping by the key, and joins with tables of as many buckets, then need no exchange. A key that holds many
+    rows is written by ``files_per_bucket`` tasks; it is read as one bucket, which a grouping streams through.
+    """
+    spark = df.sparkSession
+    bucket = F.pmod(F.hash(F.col(f"`{key}`")), F.lit(buckets))
+    # Rows of one bucket meet in few tasks, else each task writes a file for every bucket.
+    dealt = df.repartition(buckets * files_per_bucket, bucket, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_bucket)))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int, partition_by: Sequence[str] = ()) -> DataFrame:
+    """A table that ``write_bucketed`` wrote in another session."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    folders = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)}) " if partition_by else ""
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet {folders}"
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    if partition_by:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
 MANIFEST = "_manifest"
 
 
