@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.numbering import running_total
+from surveyloom.sources.staging import stage
 
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
-# Rows of one shard that a window of consecutive keys is meant to hold.
-ROWS_PER_CHUNK = 1 << 16
+# Copies of one document that a row stands for at most when they get their slots.
+ROWS_PER_PIECE = 1 << 12
 LOW_32 = 0xFFFFFFFF
 
 
@@ -71,30 +72,40 @@ def shard_of(stops: Column, n_shards: int) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``, one row for each document.
 
-    Slots of a shard are gapless from 0 in the order of key, checksum and size.
-    The window that numbers them covers a range of keys; the range is chosen from
-    the table's key span so that it holds about ``ROWS_PER_CHUNK`` rows.
+    Slots of a shard are gapless from 0 in the order of key, checksum and size. Documents equal in
+    all three are one row with a number of copies until they have their slots; the others are cut into
+    ranges at points taken from the data, so neither an outlying key nor a frequent one fills a task.
     """
     bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(bytes_).cast("long") + 8).alias("size"),
-        F.crc32(bytes_).alias("text_crc32"),
-        jumps(F.col("doc_id"), n_shards + 1).alias("_stops"),
-    ).select(
+    known = docs.select("doc_id", (F.octet_length(bytes_).cast("long") + 8).alias("size"), F.crc32(bytes_).alias("text_crc32"))
+    rows = (
+        known.groupBy("doc_id", "size", "text_crc32")
+        .agg(F.count("*").alias("_copies"))
+        .withColumn("_stops", jumps(F.col("doc_id"), n_shards + 1))
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            "_copies",
+            shard_of(F.col("_stops"), n_shards).alias("shard"),
+            shard_of(F.col("_stops"), n_shards + 1).alias("grown_shard"),
+        )
+    )
+    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    ranges = stage(rows.repartitionByRange("shard", *order).withColumn("_range", F.spark_partition_id()), "shards")
+    slots = running_total(ranges, "shard", "_range", order, F.col("_copies"), "_first")
+    # Copies are dealt out in pieces, so that no task writes all copies of a document. The number of
+    # partitions is named, else they would be merged by the size they have before the copies are written.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = slots.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(ROWS_PER_PIECE).cast("long"))))
+    dealt = pieces.repartition(partitions, "doc_id", "text_crc32", "_from")
+    last = F.least(F.col("_from") + ROWS_PER_PIECE, F.col("_copies")) - 1
+    return dealt.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
-        shard_of(F.col("_stops"), n_shards).alias("shard"),
-        shard_of(F.col("_stops"), n_shards + 1).alias("grown_shard"),
+        "shard",
+        F.explode(F.sequence(F.col("_first") + F.col("_from"), F.col("_first") + last)).alias("slot"),
+        "grown_shard",
     )
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    low = span["low"] or 0
-    width = min(max(1, ((span["high"] or 0) - low + 1) * n_shards * ROWS_PER_CHUNK // max(1, span["n"])), 2**62)
-    at = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
-    # Documents without a key share key 0; their checksums deal them out.
-    rows = rows.withColumn("_chunk", F.coalesce(at, -1 - F.col("text_crc32") % 1024))
-    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    slots = running_total(rows, "shard", "_chunk", order, F.lit(1).cast("long"), "slot")
-    return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

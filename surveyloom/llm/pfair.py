@@ -8,9 +8,8 @@ the one with the earliest deadline is next. Since the weights sum to one, every
 runs inside its window, and so at every slot the number of blocks that a source has
 had differs by less than one from ``w`` times the number of slots.
 
-Weights are rounded to whole parts of a period that grows with the slots to be filled:
-it has ``FINER`` times as many parts as there are slots, or more, so over the whole
-mixture rounding moves a source by about ``1 / FINER`` of a block. One task walks through the slots, with one number for each source, and writes the schedule as a table;
+Weights are exact fractions, each the decimal number that it is written as, so the bound holds
+against the targets themselves however long the mixture is. One task walks through the slots, with one number for each source, and writes the schedule as a table;
 blocks find their slots by a join. The mixture ends when every document has been written
 once. A source whose target is above its share of the input starts over, up to that end;
 nothing is left out.
@@ -18,7 +17,8 @@ nothing is left out.
 Rules for odd input: NULL is a source of its own; a document takes one byte at least,
 so NULL and empty texts are mixed too; a document longer than a block fills the
 following slots of its source as well; repeated rows and tied ids are documents of
-their own; an empty table gives an empty result. Input columns are kept, but for those
+their own; an empty table gives an empty result; a source that the targets do not name, or name with
+a weight of zero or less, is an error. Input columns are kept, but for those
 that have the name of a result.
 """
 
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from surveyloom.llm.numbering import running_total
 from surveyloom.sources.staging import stage
 
-FINER = 16
 SLOTS_AT_ONCE = 1 << 16
 RESULTS = ["size", "block", "pass_no", "slot", "release_slot", "deadline_slot"]
 
@@ -64,6 +63,16 @@ def whole_parts(weights: list[float], resolution: int) -> list[int]:
     return parts
 
 
+def exact_parts(weights: list[float]) -> list[int]:
+    """The smallest whole numbers in the proportions of the weights."""
+    if any(w <= 0 for w in weights):
+        raise ValueError("a target weight must be above zero")
+    exact = [Fraction(str(w)) for w in weights]
+    common = math.lcm(*[x.denominator for x in exact])
+    parts = [int(x * common) for x in exact]
+    return [p // math.gcd(*parts) for p in parts]
+
+
 def walked(parts: list[int]) -> Iterator[tuple[int, int]]:
     """Earliest deadline first, without end: the source and its block number in each slot."""
     period = sum(parts)
@@ -121,13 +130,14 @@ def mix_sources(
     targets: Mapping[str | None, float] | None = None,
     power: float = 0.9,
     block_size: int = 1 << 16,
-    resolution: int = 10_000,
+    resolution: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``size, block, pass_no, slot, release_slot, deadline_slot``; rows in slot order are the mixture.
 
     ``targets`` gives the weight of every source; without it, weights are the numbers of
     blocks of the sources to ``power``. A source then repeats at most
-    ``(largest / own) ** (1 - power)`` times.
+    ``(largest / own) ** (1 - power)`` times. With ``resolution`` the weights are rounded to that
+    many parts first.
     """
     spark = docs.sparkSession
     place = F.xxhash64("doc_id", size)
@@ -142,13 +152,11 @@ def mix_sources(
     if not totals:
         return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], *[F.lit(0).cast("long").alias(c) for c in RESULTS])
     blocks = [-(-r["n"] // block_size) for r in totals]
+    unnamed = [] if targets is None else [r["_source"] for r in totals if r["_source"] not in targets]
+    if unnamed:
+        raise ValueError(f"no target weight for the sources {unnamed}")
     weights = tempered(blocks, power) if targets is None else [targets[r["_source"]] for r in totals]
-    if any(w <= 0 for w in weights):
-        raise ValueError("a target weight must be above zero")
-    # Slots that the slowest source needs for its blocks; the period is a multiple of the resolution.
-    slots = math.ceil(max(n / w for n, w in zip(blocks, weights)) * sum(weights)) + 1
-    period = resolution * -(-FINER * max(slots, len(totals)) // resolution)
-    parts = whole_parts(weights, period)
+    parts = exact_parts(weights) if resolution is None else whole_parts(weights, resolution)
 
     source_kind = docs.select("source").schema["source"].dataType.simpleString()
     sources = spark.createDataFrame([(r["_source"], i) for i, r in enumerate(totals)], f"_name {source_kind}, _number long")

@@ -4,6 +4,8 @@ import heapq
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm import jump_shards
 from surveyloom.llm.jump_shards import shard_documents
-from surveyloom.llm.pfair import mix_sources, one_period, whole_parts
+from surveyloom.llm.pfair import exact_parts, mix_sources, one_period, walked, whole_parts
 from surveyloom.llm.queries import QUERIES, SQL, op5_pfair_mixture, op8_jump_hash_shards
 from surveyloom.llm.risk_rules import BASE, RULES, apply_quality_rules, binomial_at_most, choose_cutoffs, text_statistics
 from tests.check_queries import compare, connect
@@ -104,7 +106,7 @@ def test_shards_follow_the_published_walk(spark, small_docs):
 
 
 def test_shards_of_odd_documents(spark, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(jump_shards, "ROWS_PER_CHUNK", 1)
+    monkeypatch.setattr(jump_shards, "ROWS_PER_PIECE", 1)
     check_shards(odd_docs.collect(), shard_documents(odd_docs, 24).collect())
     check_shards(odd_docs.collect(), shard_documents(odd_docs, 1).collect(), 1)
     assert shard_documents(no_docs, 24).collect() == []
@@ -112,6 +114,39 @@ def test_shards_of_odd_documents(spark, odd_docs, no_docs, monkeypatch):
     check_shards(far.collect(), shard_documents(far, 24).collect())
 
 
+def test_neither_an_outlying_key_nor_copies_fill_a_task(spark, monkeypatch):
+    # Dense keys, one far away, and a third of the rows equal; slots are numbered in ranges of about equal rows.
+    n = 30_000
+    ids = F.when(F.col("id") < n // 3, 7).when(F.col("id") == n - 1, 2**60).otherwise(F.col("id"))
+    docs = spark.range(n).select(ids.alias("doc_id"), F.lit("same text").alias("text"))
+    monkeypatch.setattr(jump_shards, "ROWS_PER_PIECE", 256)
+    # Small partitions are not merged, as in a table of real size.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = shard_documents(docs, 4)
+        ranges = spark.read.parquet(*rows.inputFiles())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_shards(docs.collect(), rows.collect(), 4)
+    tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < n // 2
+    per_range = [r["count"] for r in ranges.groupBy("shard", "_range").count().collect()]
+    assert len(per_range) > 4 and max(per_range) < (2 * n // 3) // 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.floats(1e-6, 1e6), st.integers(1, 1000)), min_size=1, max_size=8))
+def test_exact_weights_keep_every_source_within_a_block(weights):
+    parts = exact_parts(weights)
+    period, total = sum(parts), sum(Fraction(str(w)) for w in weights)
+    assert [Fraction(p, period) for p in parts] == [Fraction(str(w)) / total for w in weights]
+    had = [0] * len(parts)
+    for slot, (i, k) in enumerate(islice(walked(parts), 400)):
+        assert k == had[i]
+        had[i] += 1
+        assert all(abs(period * h - p * (slot + 1)) < period for h, p in zip(had, parts))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.floats(0.001, 1000), min_size=1, max_size=12))
 def test_period_keeps_every_source_within_a_block(weights):
@@ -178,3 +213,5 @@ def test_mixture_of_odd_documents(spark, odd_docs, no_docs):
     assert mix_sources(no_docs, F.octet_length("text")).collect() == []
     with pytest.raises(ValueError):
         whole_parts([0.0, 1.0], 10)
+    with pytest.raises(ValueError, match="no target weight"):
+        mix_sources(odd_docs, F.octet_length("text"), {"s0": 1.0})
