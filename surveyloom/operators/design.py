@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from surveyloom.functions.money import share
 from surveyloom.operators import quantile
 from surveyloom.operators.gram import row_rank
-from surveyloom.operators.joins import join_on
+from surveyloom.operators.joins import in_list, join_on
 from surveyloom.operators.measures import Block, Measure
 from surveyloom.operators.tquantile import t_quantile_column
 from surveyloom.sources.staging import stage
@@ -443,8 +443,15 @@ class LinearDesign:
         where: Column | None = None,
         domains: Mapping[str, Column | None] | None = None,
         name: str = "domain",
+        among: tuple[DataFrame, str, str] | None = None,
     ) -> DataFrame:
-        """Estimates per group, or per domain and group when domains are given."""
+        """Estimates per group, or per domain and group when domains are given.
+
+        ``among`` restricts the design, and so its row count, to the codes of a list: the list, the grouping
+        column that holds a code, and the list's column. It meets the collapsed rows, never the persons.
+        """
+        if among is not None and among[1] not in by:
+            raise ValueError(f"{among[1]} is not a grouping column")
         if any(m.kind == "median" for m in measures):
             raise ValueError("medians need a replicate design")
         keys, blocks = list(by), _as_blocks(by, measures, where, domains)
@@ -473,6 +480,8 @@ class LinearDesign:
                 f"_wwk_{v}": F.coalesce(F.sum(F.when(known, w * w)), F.lit(0.0)),
             }
         patterns = slim.groupBy(*keys, *masks).agg(*[c.alias(n) for n, c in aggs.items()])
+        if among is not None:
+            patterns = in_list(patterns, *among)
         inside = F.array_compact(F.array(*[F.when(quantile.has_bit(i), F.lit(x)) for i, x in enumerate(blocks)]))
         copies = patterns.select(*keys, *aggs, F.explode(inside).alias(name))
         groups = copies.groupBy(name, *keys).agg(*[F.sum(n).alias(n) for n in aggs])

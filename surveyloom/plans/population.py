@@ -381,10 +381,6 @@ class LinearTables:
     def _measures(self) -> tuple[Measure, ...]:
         return (total("EMPCNT"), mean("MN_INC", self.income, strict=True))
 
-    def _within(self, codes: DataFrame, column: str) -> LinearDesign:
-        # The list restricts the design itself, so the row count is that of the listed occupations.
-        return LinearDesign(in_list(self.design.df, codes, self.key, column), self.weight)
-
     def top_lists(self) -> DataFrame:
         """The twelve lists with a label (staged)."""
         if self._lists is None:
@@ -405,12 +401,11 @@ class LinearTables:
 
     def full_part_time(self) -> DataFrame:
         shares = _of_total({"pFT": "FTCNT", "pPT": "PTCNT"}, "TOTCNT")
-        within = self._within(self.list_codes(), self.key)
         measures = totals({"FTCNT": "FTEMP", "PTCNT": "PTEMP"}, "TOTCNT", strict=True)
         everyone = _and(self.employed, "WORKINGAGE = 1")
-        both = within.estimate(
-            [self.key], measures, domains={"all": everyone, "women": everyone & F.expr("SEX = 2")}, name="category"
-        )
+        # The list restricts the design itself, so the row count is that of the listed occupations.
+        domains = {"all": everyone, "women": everyone & F.expr("SEX = 2")}
+        both = self.design.estimate([self.key], measures, domains=domains, name="category", among=(self.list_codes(), self.key, self.key))
         both = stage(self._titled(row_shares(both, shares)), "linear_full_part_time")
         sides = [both.where(F.col("category") == x).drop("category") for x in ("all", "women")]
         keys = [self.key, self.title]
@@ -418,14 +413,14 @@ class LinearTables:
 
     def promising_table(self) -> DataFrame:
         """Promising occupations: everyone, then full-time with mean income."""
-        within = self._within(self.promising, self.code)
+        listed = (self.promising, self.key, self.code)
         everyone = {n: c for n, c in TOTALS_ALL.items() if n != "MALCNT"}
         full = {n: c for n, c in everyone.items() if n not in ("FTCNT", "PTCNT")}
         income = mean("MN_INC", self.income, strict=True)
         both = []
         for names, where, extra in ((everyone, None, ()), (full, _and(FULL_TIME), (income,))):
             shares = {p: c for p, c in SHARES_ALL.items() if c in names}
-            est = within.estimate([self.key], (*totals(names, "TOTCNT", strict=True), *extra), where=where)
+            est = self.design.estimate([self.key], (*totals(names, "TOTCNT", strict=True), *extra), where=where, among=listed)
             both.append(self._titled(row_shares(est, _of_total(shares, "TOTCNT"))))
         keys = [self.key, self.title]
         return fold_join([both[0], suffix_columns(both[1], "_ft", keys)], keys, "left")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.operators import reshape
+from surveyloom import LinearDesign, mean, total
+from surveyloom.operators import joins, reshape
 from surveyloom.sources import readers, records, writers
 
 LAYOUT = {"id": (1, 6, T.LongType()), "name": (7, 5, T.StringType()), "x": (12, 6, T.DoubleType()), "n": (18, 11, T.IntegerType())}
@@ -119,3 +120,17 @@ def test_pivot_beyond_the_limit_of_levels(spark):
     assert all(got[k][f"a{i}"] == (None if 3 * i + k == 5 else 3 * i + k) for k in range(3) for i in range(0, n, 7))
     odd = reshape.to_wide(spark.createDataFrame([("a", None, 1.0), ("a", 2, 3.0)], "k string, area int, v double"), ["k"], "area", "v")
     assert odd.select("k", "null", "`2`").collect() == [("a", 1.0, 3.0)]
+
+
+def test_a_list_meets_collapsed_rows_only(spark):
+    rows = [(None if i % 9 == 0 else f"c{i % 5}", float(i % 7), 1.0 + i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "code string, x double, w double")
+    codes = spark.createDataFrame([("c1",), ("c3",), ("c3",), (None,), ("zz",)], "listed string")
+    measures, domains = [total("X", "x"), mean("M", "x")], {"all": None, "heavy": F.col("w") > 1}
+    got = LinearDesign(df, "w").estimate(["code"], measures, domains=domains, among=(codes, "code", "listed"))
+    want = LinearDesign(joins.in_list(df, codes, "code", "listed"), "w").estimate(["code"], measures, domains=domains)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join LeftSemi") :].split("Relation")[0].split("LogicalRDD")[0]
+    with pytest.raises(ValueError, match="not a grouping column"):
+        LinearDesign(df, "w").estimate(["x"], measures, among=(codes, "code", "listed"))
