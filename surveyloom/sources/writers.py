@@ -37,13 +37,18 @@ def write_bucketed(
     """Write the table in folders of ``partition_by``, cut into buckets by a hash of ``key``, and return it as read back.
 
     Grouping by the key, and joins with tables of as many buckets, then need no exchange. A key that holds many
-    rows is written by ``files_per_bucket`` tasks; it is read as one bucket, which a grouping streams through.
+    rows is written by ``files_per_bucket`` tasks, and by more where a task would be given more than
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so the rows that one task sorts do not grow with the table;
+    it is read as one bucket, which a grouping streams through.
     """
     spark = df.sparkSession
-    bucket = F.pmod(F.hash(F.col(f"`{key}`")), F.lit(buckets))
-    # Rows of one bucket meet in few tasks, else each task writes a file for every bucket.
-    dealt = df.repartition(buckets * files_per_bucket, bucket, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_bucket)))
     name = f"bucketed_{uuid.uuid4().hex}"
+    # Rows of one bucket meet in few tasks, else each task writes a file for every bucket. The hint takes names only.
+    deal = {
+        f"_b_{name}": F.pmod(F.hash(F.col(f"`{key}`")), F.lit(buckets)),
+        f"_p_{name}": F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_bucket)),
+    }
+    dealt = df.withColumns(deal).hint("rebalance", *deal).drop(*deal)
     writer = dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
     return spark.table(name)

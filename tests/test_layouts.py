@@ -111,6 +111,21 @@ def test_bucketed_extract_groups_without_an_exchange(spark, tmp_path):
     assert met.count() == rows.where("SOCP IS NOT NULL").count()
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 400_000, 1, 8).select(F.lit("hot").alias("_b"), F.xxhash64("id").alias("v"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "512k")
+    try:
+        written = writers.write_bucketed(rows, str(tmp_path / "extract"), "_b", 4)
+    finally:
+        spark.conf.unset(size)
+    # About 3 MB of shuffled numbers: one task would sort them all if pieces were counted in advance.
+    assert len(written.inputFiles()) >= 4 and written.columns == ["_b", "v"]
+    sums = written.groupBy("_b").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"))
+    assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert sums.collect() == rows.groupBy("_b").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).collect()
+
+
 def test_pivot_beyond_the_limit_of_levels(spark):
     n = 12_000
     df = spark.range(3 * n).select((F.col("id") % 3).alias("k"), F.concat(F.lit("a"), F.floor(F.col("id") / 3)).alias("area"), F.col("id").alias("v"))
