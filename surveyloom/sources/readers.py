@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,33 +47,70 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, columns: Se
 INFERRED = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
 
 
+def _value_counts(df: DataFrame) -> DataFrame:
+    """Partial counts of ``type_report``: one row a column and task, so a column's values are never sorted.
+
+    Spark judges the values; a task adds them up batch by batch and keeps the two smallest texts of each column.
+    """
+    columns, kinds = df.columns, list(INFERRED)
+
+    def bit(kind: str, fits: Column) -> Column:
+        return F.when(fits, 2 << kinds.index(kind)).otherwise(0)
+
+    def mask(v: Column) -> Column:
+        """Bit 0 is a value, the others are the types it fits. A whole number has the form of a real one, a date never."""
+        whole, real = v.rlike(r"^[+-]?(0|[1-9][0-9]*)$"), v.rlike(r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        day = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull()
+        counts = F.when(whole, bit("int", v.try_cast("int").isNotNull()).bitwiseOR(bit("bigint", v.try_cast("bigint").isNotNull()))).otherwise(0)
+        number = bit("double", v.try_cast("double").isNotNull()).bitwiseOR(counts)
+        return F.when(v.isNull(), 0).otherwise(F.lit(1).bitwiseOR(F.when(real, number).otherwise(bit("date", day))))
+
+    # One step after the other, so that each expression is evaluated once a value.
+    at = range(len(columns))
+    values = df.select(*[null_if_any(F.col(f"`{c}`").cast("string"), TEXT_NULLS).alias(f"v{i}") for i, c in enumerate(columns)])
+    masks = values.select(*[f"v{i}" for i in at], *[mask(F.col(f"v{i}")).alias(f"m{i}") for i in at])
+    no_double = [F.when(F.col(f"m{i}").bitwiseAND(2 << kinds.index("double")) == 0, F.col(f"v{i}")) for i in at]
+    judged = masks.select(*[F.struct(F.col(f"m{i}").alias("fits"), no_double[i].cast("binary").alias("text")).alias(f"c{i}") for i in at])
+    date = 2 << kinds.index("date")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(columns), 2 << len(kinds)), np.int64)
+        odd: list[bytes | None] = [None] * len(columns)
+        no_number: list[bytes | None] = [None] * len(columns)
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                bits, text = column.field("fits").to_numpy(), column.field("text")
+                counts[i] += np.bincount(bits, minlength=counts.shape[1])
+                if text.null_count == len(text):
+                    continue
+                neither = text.filter(pa.array(bits & date == 0))
+                for least, seen in ((no_number, text), (odd, neither)):
+                    found = [x for x in (least[i], pc.min(seen).as_py()) if x is not None]
+                    least[i] = min(found, default=None)
+        some = np.flatnonzero(counts.sum(axis=1))
+        held = np.arange(counts.shape[1])
+        out = {"column": pa.array([columns[i] for i in some], pa.string()), "n_values": counts[some, 1:].sum(axis=1), "n_null": counts[some, 0]}
+        out |= {f"n_{k}": counts[some][:, held & 2 << j != 0].sum(axis=1) for j, k in enumerate(kinds)}
+        out |= {"_odd": pa.array([odd[i] for i in some], pa.binary()), "_no_number": pa.array([no_number[i] for i in some], pa.binary())}
+        yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in out.items()})
+
+    numbers = ["n_values", "n_null", *[f"n_{k}" for k in kinds]]
+    schema = f"column string, {', '.join(f'{n} long' for n in numbers)}, _odd binary, _no_number binary"
+    # Texts go as bytes, which sort as Spark sorts text, valid UTF-8 or not.
+    parts = judged.mapInArrow(add, schema)
+    return parts.groupBy("column").agg(*[F.sum(n).alias(n) for n in numbers], *[F.min(n).cast("string").alias(n) for n in ("_odd", "_no_number")])
+
+
 def type_report(df: DataFrame) -> DataFrame:
     """What type each text column could have, judged by all its values.
 
     One row a column: ``column, type, n_values, n_null``, for each type of ``INFERRED`` the
     number of values that fit (``n_int`` and so on), and ``text_example``, the smallest value
     that is not a number, or not a date in a column that begins as dates. Empty text and NA are missing. A number with leading zeros is a
-    code, so it fits no number; a column without any value is text. The columns are turned
-    into rows first, so one aggregation of fixed width does for a table of any width.
+    code, so it fits no number; a column without any value is text. A task holds one batch of rows and
+    a row of counts for each column, whatever the table's size.
     """
-    long = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "raw")
-    rows = long.select("column", null_if_any(F.col("raw"), TEXT_NULLS).alias("v"))
-    v = F.col("v")
-    whole, real = v.rlike(r"^[+-]?(0|[1-9][0-9]*)$"), v.rlike(r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    fits = {
-        "int": whole & v.try_cast("int").isNotNull(),
-        "bigint": whole & v.try_cast("bigint").isNotNull(),
-        "double": real & v.try_cast("double").isNotNull(),
-        "date": v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull(),
-    }
-    neither = ~(fits["double"] | fits["date"])
-    counts = rows.groupBy("column").agg(
-        F.count("v").alias("n_values"),
-        F.count_if(v.isNull()).alias("n_null"),
-        *[F.count_if(fit).alias(f"n_{name}") for name, fit in fits.items()],
-        F.min(F.when(neither, v)).alias("_odd"),
-        F.min(F.when(~fits["double"], v)).alias("_no_number"),
-    )
+    counts = _value_counts(df)
     kind = F.lit("string")
     for name in reversed(INFERRED):
         kind = F.when((F.col("n_values") > 0) & (F.col(f"n_{name}") == F.col("n_values")), name).otherwise(kind)

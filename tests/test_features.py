@@ -31,6 +31,21 @@ def test_types_need_every_value(spark):
     assert report(spark, []) is None
 
 
+def test_types_are_judged_without_sorting_the_values(spark):
+    texts = ["a\U0001f600", "a\ufffd", "z", "2020-01-01", "", "NA", None, "1", "1.5", "-0", "99999999999"]
+    df = spark.createDataFrame([(t, "x" + (t or ""), None, "7") for t in texts], "`a.b` string, text string, nothing string, n string").repartition(3)
+    df = df.withColumn("bytes", F.concat(F.unhex(F.lit("ff")), F.col("text").cast("binary")).cast("string"))
+    report = readers.type_report(df)
+    # Sorting by column name would hold all values of a task in memory.
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    values = plan[plan.index("MapInArrow") :]
+    assert "Sort" not in values and "Expand" not in values
+    got = {r["column"]: tuple(r)[1:] for r in report.collect()}
+    assert got["a.b"] == ("string", 8, 3, 2, 3, 4, 1, "a\ufffd")
+    assert got["text"] == ("string", 11, 0, 0, 0, 0, 0, "x") and got["nothing"] == ("string", 0, 11, 0, 0, 0, 0, None)
+    assert got["n"] == ("int", 11, 0, 11, 11, 11, 0, None) and got["bytes"][:2] == ("string", 11)
+
+
 def test_inferred_files_widen_on_a_late_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text("code,n.rows,note\n011,1,\n012,2,NA\n")
     (tmp_path / "b.csv").write_text("code,n.rows,note\n013,2.5,\n")
