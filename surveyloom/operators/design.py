@@ -222,15 +222,17 @@ class ReplicateDesign:
     def _independent_replicates(self) -> int:
         if self.degrees == "count":
             return self.count
-        return row_rank(self.df, F.slice(self._all_weights(), 2, self.count), self.count)
+        return row_rank(self.df, self._replicate_weights(), self.count)
 
-    def _all_weights(self) -> Column:
-        base = F.col(self.weight).cast("double")
+    def _replicate_weights(self) -> Column:
         if isinstance(self.replicates, str):
             weights = F.col(self.replicates)
             wrong = F.raise_error(F.format_string("expected %d replicate weights, found %d", F.lit(self.count), F.size(weights)))
-            return F.concat(F.array(base), F.when(F.size(weights) == self.count, weights).otherwise(wrong))
-        return F.array(base, *[F.col(c).cast("double") for c in self.replicates])
+            return F.when(F.size(weights) == self.count, weights).otherwise(wrong)
+        return F.array(*[F.col(c).cast("double") for c in self.replicates])
+
+    def _all_weights(self) -> Column:
+        return F.concat(F.array(F.col(self.weight).cast("double")), self._replicate_weights())
 
     def _is_whole(self, column: str) -> bool:
         return isinstance(self.df.schema[column].dataType, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType))
@@ -334,19 +336,19 @@ class ReplicateDesign:
         return sums.block("all") if domains is None else sums.stacked(name)
 
     def _medians(self, keys: list[str], blocks: Mapping[str, Block], keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Histogram, bucket totals, and medians per ``(block, var, *keys)``; ``keep`` stages the histogram for later limits."""
+        """Histogram, bucket totals, and medians per ``(block, var, *keys)``; ``keep`` stages the totals too, for later limits."""
         members = _median_members(blocks)
         base = _any_block({x: blocks[x] for x in members})
         persons = self.df if base is None else self.df.where(base)
         group = ["_block", "_var", *keys]
-        hist = quantile.weight_histogram(persons, keys, self.weight, members)
-        if keep:
-            hist = stage(hist, "histogram")
+        hist = stage(quantile.weight_histogram(persons, keys, self.weight, members), "histogram")
         buckets = quantile.bucket_totals(hist, group)
+        if keep:
+            buckets = stage(buckets, "bucket_totals")
         return hist, buckets, quantile.locate(hist, buckets, group, F.lit(0.5), "_median")
 
     def medians(self, by: Sequence[str], measures: Sequence[Measure], where: Column | None = None) -> DataFrame:
-        """Medians alone: no replicate weight is read; one small table is staged on the way."""
+        """Medians alone: no replicate weight is read; the histogram and small tables are staged on the way."""
         names = {m.column: m.name for m in measures}
         _, _, mid = self._medians(list(by), {"all": Block(tuple(measures), where)})
         return mid.groupBy(*by).agg(

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,12 @@ def gram_matrix(df: DataFrame, rows: Column, width: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            # A missing row has no components here.
+            x = pc.fill_null(batch.column(0).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(i + 1, pa.int32()), pa.array(j + 1, pa.int32()), pa.array(total[i, j])], names=["i", "j", "g"])
 
-    known = F.transform(rows.cast("array<double>"), lambda x: F.coalesce(x, F.lit(0.0)))
-    parts = df.where(rows.isNotNull()).select(known.alias("x")).mapInArrow(add, "i int, j int, g double")
+    parts = df.select(rows.cast("array<double>").alias("x")).mapInArrow(add, "i int, j int, g double")
     return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
