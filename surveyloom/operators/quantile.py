@@ -84,14 +84,14 @@ def weight_histogram(
     labels = list(members)
     variables = list(dict.fromkeys(v for cols in members.values() for v in cols["columns"]))
     masks = mask_names(len(members))
-    rows = df.select(
+    # Inputs and masks are computed in steps of their own: generated methods above 8,000 bytes are not compiled.
+    slim = df.select(
         *keys,
         F.col(weight).cast("double").alias("_w"),
         *membership_masks([spec["where"] for spec in members.values()]),
-        F.explode(
-            F.array(*[F.struct(F.lit(v).alias("_var"), number(v).alias("_x")) for v in variables])
-        ).alias("_v"),
-    ).select(*keys, "_w", *masks, F.col("_v._var").alias("_var"), F.col("_v._x").alias("_x"))
+        F.array(*[F.struct(F.lit(v).alias("_var"), number(v).alias("_x")) for v in variables]).alias("_v"),
+    )
+    rows = slim.select(*keys, "_w", *masks, F.inline("_v"))
     cells = (
         rows.where(F.col("_x").isNotNull())
         .groupBy("_var", *keys, *masks, "_x")
@@ -101,11 +101,10 @@ def weight_histogram(
     for i, label in enumerate(labels):
         wanted = has_bit(i) & F.col("_var").isin(*members[label]["columns"])
         in_blocks.append(F.when(wanted, F.lit(label)))
-    return (
-        cells.select("_var", *keys, "_x", "_w", "_n", F.explode(F.array(*in_blocks)).alias("_block"))
-        .where(F.col("_block").isNotNull())
-        .withColumn("_image", image(F.col("_x")))
-        .withColumn("_bucket", digit(F.col("_image"), 0))
+    # The image of a value is computed once, not once a block.
+    placed = cells.withColumn("_image", image(F.col("_x"))).withColumn("_bucket", digit(F.col("_image"), 0))
+    return placed.select(
+        "_var", *keys, "_x", "_w", "_n", F.explode(F.array_compact(F.array(*in_blocks))).alias("_block"), "_image", "_bucket"
     )
 
 
@@ -133,7 +132,8 @@ def locate(
 
     ``share`` may read any column of ``buckets``, which may repeat a group for
     several shares told apart by the ``extra`` columns. Shares below 0 or above
-    1 give the smallest or the largest value. The first level is computed and staged at once.
+    1 give the smallest or the largest value. The first level is computed and staged at once;
+    ``hist`` is read twice, so it should be a staged table.
     """
     before = F.col("_cum") - F.col("_bw")
     hit = (
@@ -141,9 +141,9 @@ def locate(
         .where((F.col("_cum") >= F.col("_goal")) & ((before < F.col("_goal")) | (before <= 0)))
         .select(*group, *extra, "_bucket", "_goal", before.alias("_before"), "_total", "_rows")
     )
-    # Reading _n here as well keeps both uses of the histogram the same plan,
-    # so that its exchange is reused.
-    near = join_on(hist.where((F.col("_w") > 0) & (F.col("_n") > 0)), hit, [*group, "_bucket"], "inner")
+    # One row a group and share. Its written size is known, so while it is small it is broadcast and the histogram stays where it is.
+    hit = stage(hit, "hits")
+    near = join_on(hist.where(F.col("_w") > 0), hit, [*group, "_bucket"], "inner")
     # One bucket of each group is left; it is read several times from here on.
     near = stage(near, "buckets")
     each = [*group, *extra]

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyloom import ReplicateDesign, median
-from surveyloom.operators import distinct, gram, joins
-from surveyloom.sources import readers, writers
+from surveyloom.operators import distinct, gram, joins, quantile
+from surveyloom.sources import readers, staging, writers
 
 
 def report(spark, values):
@@ -76,6 +76,36 @@ def test_rank_of_odd_weights(spark):
     assert gram.row_rank(df.limit(0), F.col("x"), 3) == 0
 
 
+def test_weights_go_to_the_gram_matrix_as_they_are(spark):
+    df = spark.createDataFrame([([1.0, None, 2.0],), (None,), ([3.0, 0.0, float("nan")],)], "x array<double>").repartition(2)
+    plan = gram.gram_matrix(df, F.col("x"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    # A filter on the array would compute it a second time, below the exchange.
+    assert "transform" not in plan and "Filter" not in plan
+    got = {(r.i, r.j): str(r.g) for r in gram.gram_matrix(df, F.col("x"), 3).collect()}
+    assert got == {(1, 1): "10.0", (1, 2): "0.0", (1, 3): "nan", (2, 2): "0.0", (2, 3): "nan", (3, 3): "nan"}
+
+
+def test_histogram_of_medians_is_not_shuffled_again(spark, monkeypatch):
+    df = spark.range(0, 20_000, 1, 4).select((F.col("id") % 5).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("x"), F.lit(1.0).alias("w"))
+    plans = {}
+
+    def seen(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return staging.stage(frame, name)
+
+    monkeypatch.setattr(quantile, "stage", seen)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "60k")
+    try:
+        got = ReplicateDesign(df, "w", ["w"]).medians(["g"], [median("m", "x")]).collect()
+    finally:
+        spark.conf.unset(limit)
+    # The bucket that holds each median is a small table; only this one moves.
+    assert "BroadcastHashJoin" in plans["buckets"] and "SortMergeJoin" not in plans["buckets"]
+    want = df.groupBy("g").agg(F.sort_array(F.collect_list("x"))[1999].alias("m")).collect()
+    assert sorted(got) == sorted(want)
+
+
 def test_fewer_degrees_widen_the_limits(spark):
     rows = [(i % 2, float(i % 41), 1.0 + i % 3, [1.0 + (i * (1 + r % 2)) % 5 for r in range(6)]) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, x double, w double, reps array<double>")
