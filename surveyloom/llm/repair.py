@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm.byte_pairs import encoder
+from surveyloom.llm.byte_pairs import encoder, portions
 from surveyloom.sources.staging import stage
 
 MAGIC = b"RPR1"
@@ -186,51 +186,53 @@ def _put(folder: str, file: str, data: bytes) -> None:
     target.move(draft, f"{root}/{file}")
 
 
-def _shard(ids: list[int | None], pieces: list[bytes], base: int) -> Shard:
-    doc_tokens = np.array([len(p) // 4 for p in pieces], np.int64)
-    rules, lengths, symbols, doc_symbols = compress(np.frombuffer(b"".join(pieces), "<u4"), doc_tokens, base)
-    nulls = np.array([i is None for i in ids], np.uint8)
-    known = np.array([0 if i is None else i for i in ids], np.int64)
-    return Shard(known, nulls, doc_symbols, doc_tokens, base, rules, lengths, symbols)
+def _shard(doc_ids: list[pa.Array], doc_tokens: np.ndarray, tokens: np.ndarray, base: int) -> Shard:
+    rules, lengths, symbols, doc_symbols = compress(tokens, doc_tokens, base)
+    ids = pa.concat_arrays(doc_ids)
+    nulls = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+    return Shard(ids.fill_null(0).to_numpy(), nulls, doc_symbols, doc_tokens, base, rules, lengths, symbols)
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Encode and write all documents in ascending ``doc_id`` order; returns the staged list of files.
 
     Spark chooses the number of ranges and joins small ones; a task holds the ids of
-    one shard and the texts of one Arrow batch.
+    one shard, one Arrow batch, and what a part of its texts is encoded with.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        to_ids, end = encoder(vocabulary), struct.pack("<I", end_id)
+        to_ids = encoder(vocabulary)
         base = max(to_ids.size, end_id + 1)
-        ids: list[int | None] = []
-        pieces: list[bytes] = []
-        held = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        n_held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, held
-            shard, file = _shard(ids, pieces, base), f"{part:06d}-{number:06d}.rpr"
+            nonlocal number, n_held
+            doc_ids, sizes, tokens = zip(*held)
+            shard, file = _shard(list(doc_ids), np.concatenate(sizes), np.concatenate(tokens), base), f"{part:06d}-{number:06d}.rpr"
             data = shard.to_bytes()
             _put(folder, file, data)
-            row = [part, number, file, len(ids), held // 4, len(shard.symbols), len(shard.rules), len(data)]
-            number, held = number + 1, 0
-            ids.clear()
-            pieces.clear()
+            row = [part, number, file, len(shard.doc_ids), n_held, len(shard.symbols), len(shard.rules), len(data)]
+            number, n_held = number + 1, 0
+            held.clear()
             return pa.RecordBatch.from_pylist([dict(zip(FILES.names, row))], FILES)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                some = batch.slice(low, 500)
-                encoded = to_ids.encode([t or "" for t in some["text"].to_pylist()])
-                for doc_id, piece in zip(some["doc_id"].to_pylist(), encoded):
-                    ids.append(doc_id)
-                    pieces.append(piece + end)
-                    held += len(piece) + 4
-                    if held >= 4 * TOKENS_PER_SHARD:
+            for low, high in portions(batch["text"]):
+                ids, n = to_ids.encode_column(batch["text"].slice(low, high - low))
+                doc_ids, ids = batch["doc_id"].slice(low, high - low), np.insert(ids, np.cumsum(n), end_id)
+                ends = np.concatenate([[0], np.cumsum(n + 1)])
+                first = 0
+                while first < len(n):
+                    # Up to the document that fills the shard.
+                    last = min(int(np.searchsorted(ends, ends[first] + TOKENS_PER_SHARD - n_held)), len(n))
+                    held.append((doc_ids.slice(first, last - first), n[first:last] + 1, ids[ends[first] : ends[last]]))
+                    n_held += int(ends[last] - ends[first])
+                    first = last
+                    if n_held >= TOKENS_PER_SHARD:
                         yield flush()
-        if ids:
+        if held:
             yield flush()
 
     # The hash deals out and orders documents that share an id.

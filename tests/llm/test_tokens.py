@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from surveyloom.llm import repair
+from surveyloom.llm import byte_pairs, repair
 from surveyloom.llm.byte_pairs import encoder
 from surveyloom.llm.piece_trie import decode_pieces, encode_pieces, model_of
 from surveyloom.llm.repair import Shard, compress, read_shards, write_shards
@@ -30,6 +31,63 @@ def test_pieces_encode_as_the_library_does(texts):
     assert encoder(BYTES).encode(texts) == want
 
 
+ODD_LETTERS = st.lists(st.sampled_from([*"aé世ß ªº½²’'.,;:!?\n\t\x0b\x1c\x85\xa0\u180e\u2003\u2028\u3000\ufeff\u0301😀#-_()<|>", "<|endoftext|>", "'s", "  "]), max_size=40).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ODD_LETTERS, max_size=5))
+def test_white_space_marks_and_special_tokens_encode_as_the_library_does(texts):
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder(BYTES).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder(BYTES).encode(texts) == want
+
+
+def test_every_neighbour_of_a_space_or_a_mark_encodes_as_the_library_does():
+    library, of = Tokenizer.from_file(BYTES), byte_pairs.PieceEncoder(BYTES)
+    points = [chr(c) for c in [*range(0x3100), *range(0xD000, 0xD800), *range(0xE000, 0x10500)]]
+    for low in range(0, len(points), 4096):
+        texts = [f"{a}{c}{b}" for c in points[low : low + 4096] for a, b in (("a", " b"), ("a ", ", x"), ("!", "\n c"))]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert of.encode(texts) == want
+
+
+def test_the_library_sees_a_word_once_whatever_stands_around_it(monkeypatch):
+    of, given_bytes = byte_pairs.PieceEncoder(BYTES), []
+    library = of._encode
+    monkeypatch.setattr(of, "_encode", lambda texts: given_bytes.extend(len(t.encode()) for t in texts) or library(texts))
+    words = [f"w{a}o{b}rdé" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [f"{around.join(words)}  {around.join(reversed(words))}" for around in (" ", ", ", "; ", "! ", ".\n ", "  ")] * 20
+    assert of.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in of.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    # With one space, two spaces, a line break or at the start of a text: four forms of a word, beside a few marks.
+    assert sum(given_bytes) < 5 * sum(len(w.encode()) + 3 for w in words)
+
+
+def test_long_pieces_are_not_remembered():
+    of = byte_pairs.PieceEncoder(BYTES)
+    texts = [f"{i}{'世' * 5000} and a word" for i in range(20)]
+    for _ in range(3):
+        assert of.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in of.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert sorted(of.known) == [" a", " and", " word"] and len(of.flat) == of.n.sum() == 3
+
+
+def test_other_ways_to_cut_words_get_whole_texts(tmp_path):
+    library = Tokenizer.from_file(BYTES)
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    library.save(str(tmp_path / "prefix.json"))
+    texts = ["the word, the word", "", " the  word\n", "the"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert byte_pairs.PieceEncoder(str(tmp_path / "prefix.json")).encode(texts) == want
+
+
+def test_portions_hold_all_rows_and_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(byte_pairs, "BYTES_AT_ONCE", 10)
+    texts = pa.array(["", None, "aaaa", "é" * 20, None, "b", "c" * 9, "d", None])
+    found = byte_pairs.portions(texts)
+    assert [i for low, high in found for i in range(low, high)] == list(range(len(texts)))
+    sizes = [[len((t or "").encode()) for t in texts.slice(low, high - low).to_pylist()] for low, high in found]
+    assert all(sum(s) - max(s) <= 10 for s in sizes) and len(found) > 2
+    assert byte_pairs.portions(texts.slice(0, 0)) == []
+
+
 def shard_of(documents, base=50):
     doc_tokens = np.array([len(d) for d in documents])
     tokens = np.array([t for d in documents for t in d], np.uint32)
