@@ -25,7 +25,8 @@ def in_units(rows: DataFrame, cell: str, salt: str, rows_per_block: int = ROWS_P
     rows of one block (``block = other``) or of two.
     """
     sizes = rows.groupBy(F.col(cell).alias("_cell")).agg(F.count("*").alias("_n")).where("_n > 1")
-    sized = rows.join(sizes, rows[cell] == sizes["_cell"])
+    # Rows come from an explode, which Spark takes for as many rows as went in: unasked it would broadcast all of them.
+    sized = rows.hint("merge").join(sizes.hint("merge"), rows[cell] == sizes["_cell"])
     blocks = F.ceil(F.col("_n") / rows_per_block).cast("int")
     own = F.pmod(F.xxhash64(salt), blocks.cast("long")).cast("int")
     # A cell of one block, by far the most common, is one unit without other blocks.
