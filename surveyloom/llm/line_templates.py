@@ -110,8 +110,11 @@ def _in_two_documents(first: Column, last: Column) -> Column:
 
 
 def _salted(df: DataFrame) -> DataFrame:
-    """Copies of a table with one row for each key, to be joined to rows that have a salt."""
-    return df.select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    """Copies of a table with one row for each key, to be joined to rows that have a salt.
+
+    Spark takes the copies for as many rows as there were before; unasked it would broadcast all of them.
+    """
+    return df.select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")).hint("merge")
 
 
 def general_templates(lines: DataFrame, similarity: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.llm.cells import in_units
+from surveyloom.llm.line_templates import SALTS, _salted, general_templates, parsed_lines
+from surveyloom.sources.staging import stage
 
 
 def plan_of(df):
@@ -24,3 +26,19 @@ def test_rows_of_cells_are_not_broadcast(spark):
             where.setdefault(fp % 100 * 70 + k * (fp % 2 + 1), []).append(fp)
     assert sorted(got) == sorted((cell, fp) for cell, fps in where.items() if len(fps) > 1 for fp in fps)
     assert "BroadcastExchange" not in plan_of(placed) and "SortMergeJoin" in plan_of(placed)
+
+
+def test_salted_keys_are_not_broadcast(spark):
+    keys = stage(spark.range(300).select(F.col("id").alias("leaf")), "leaves")
+    rows = spark.range(3000).select((F.col("id") % 600).alias("leaf"), (F.col("id") % SALTS).cast("int").alias("salt"), "id")
+    kept = rows.join(_salted(keys), ["leaf", "salt"], "left_semi")
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(3000) if i % 600 < 300]
+    assert "BroadcastExchange" not in plan_of(kept) and "SortMergeJoin" in plan_of(kept)
+
+
+def test_recurring_choices_of_fields_are_not_broadcast(spark):
+    texts = [f"common words lead the line number {'abcdefgh'[i]} here" for i in range(4)] + ["quite another line that stands alone in all texts"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = general_templates(stage(parsed_lines(docs, 3), "lines"), 0.75)
+    assert [r["first"].doc_id for r in found.collect()] == [0] * 4
+    assert "BroadcastExchange" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
