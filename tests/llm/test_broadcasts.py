@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
+from surveyloom.llm import line_templates
 from surveyloom.llm.cells import in_units
 from surveyloom.llm.line_templates import SALTS, _salted, general_templates, parsed_lines
 from surveyloom.sources.staging import stage
@@ -42,3 +45,28 @@ def test_recurring_choices_of_fields_are_not_broadcast(spark):
     found = general_templates(stage(parsed_lines(docs, 3), "lines"), 0.75)
     assert [r["first"].doc_id for r in found.collect()] == [0] * 4
     assert "BroadcastExchange" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
+
+
+@pytest.fixture(scope="module")
+def prose(spark):
+    """Pairs of documents that differ in one word of their last line."""
+    letters = "abcdefgh"
+    lines = [f"{a} common words lead the line {b} of a page" for a in letters for b in letters]
+    rows = [(i, "\n".join([*lines[4 * (i // 2) : 4 * (i // 2) + 4], f"this one is of {letters[i % 8] * (i + 2)} only"]), "en", "s") for i in range(32)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def test_line_stage_broadcasts_no_salted_leaves(spark, prose, monkeypatch):
+    plans = {}
+
+    def watched(df, name):
+        plans[name] = plan_of(df)
+        return stage(df, name)
+
+    monkeypatch.setattr(line_templates, "stage", watched)
+    left = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, prose, "").collect()}
+    # A template has the eight lines of a first letter, which lie in four documents; one has all the last lines.
+    want = {4 * i: [f"{a} common words lead the line a of a page"] for i, a in enumerate("abcdefgh")}
+    want[0].append("this one is of aa only")
+    assert left == want
+    assert "BroadcastExchange" not in plans["choices"] and "SortMergeJoin" in plans["choices"]
