@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.llm import line_templates
+from surveyloom.llm import line_templates, simhash
 from surveyloom.llm.cells import in_units
 from surveyloom.llm.line_templates import SALTS, _salted, general_templates, parsed_lines
 from surveyloom.sources.staging import stage
@@ -70,3 +70,17 @@ def test_line_stage_broadcasts_no_salted_leaves(spark, prose, monkeypatch):
     want[0].append("this one is of aa only")
     assert left == want
     assert "BroadcastExchange" not in plans["choices"] and "SortMergeJoin" in plans["choices"]
+
+
+def test_simhash_stage_broadcasts_no_cells(spark, prose, monkeypatch):
+    units = []
+
+    def watched(*args):
+        units.append(in_units(*args))
+        return units[-1]
+
+    monkeypatch.setattr(simhash, "in_units", watched)
+    twice = prose.unionByName(prose.withColumn("doc_id", F.col("doc_id") + 100))
+    left = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, twice, "").collect()}
+    assert 0 in left and left <= set(range(32))
+    assert "BroadcastExchange" not in plan_of(units[0]) and "SortMergeJoin" in plan_of(units[0])
